@@ -185,7 +185,7 @@ def dialects(fields: DataFrame, kinds: dict[str, Kind], rounds: int = ROUNDS) ->
         need = several.select("field", "key", "dialect", "bits", F.explode(F.arrays_zip("codes", "shapes", "letters")).alias("v")).select("field", "key", "dialect", "bits", "v.codes", "v.shapes", "v.letters")
         need = need.join(value_bits, ["field", "codes"], "left").join(by_shape, ["field", "shapes"], "left").join(total, "field", "left")
         half = F.lit(0.5)
-        known = -F.log2((F.coalesce("nv", F.lit(0.0)) + 1e-3) / (F.coalesce("nf", F.lit(0.0)) + 1))
+        known = F.when(F.col("field").isin([f for f, k in kinds.items() if k.by_value]), -F.log2((F.coalesce("nv", F.lit(0.0)) + 1e-3) / (F.coalesce("nf", F.lit(0.0)) + 1)))
         spelled = -F.log2((F.coalesce("ns", F.lit(0.0)) + half) / (F.coalesce("nf", F.lit(0.0)) + 1)) + F.col("letters") + 1
         cost = need.groupBy("field", "key", "dialect").agg((F.sum(F.least(known, spelled)) + F.first("bits")).alias("cost"))
         best = cost.groupBy("field", "key").agg(F.min_by("dialect", F.struct("cost", "dialect")).alias("dialect"))
