@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import terms
+from tesela.llm import terms, truncation
 from tesela.runtime import table
 
 
@@ -25,5 +25,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_terms(spark, d).filter(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms)}
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(table(spark, d, "productos"), "seller", "fila", ("name", "description"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d).filter(F.col("cause").isNotNull()).select(F.col("key").alias("fila"), "field")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(_cuts(spark, d)).withColumnRenamed("source", "seller")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_rates)}
 ORACLES: dict[str, str] = {}
