@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import terms, truncation
+from tesela.llm import encoding, leaks, packing, terms, truncation
 from tesela.runtime import table
 
 
@@ -37,5 +37,29 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(_cuts(spark, d)).withColumnRenamed("source", "seller")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_rates)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), "doc_id").withColumnRenamed("key", "doc_id")
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "evaluacion"), "doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).filter(F.col("run") >= leaks.SPAN).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_tolerant(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).filter(F.col("overlap") >= leaks.SPAN).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "run", "overlap", "substitutions")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repaired(table(spark, d, "documents"), "doc_id").filter("garbled").select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repaired(table(spark, d, "documents"), "doc_id").filter("garbled").select("doc_id", "restored", F.concat_ws("; ", "chains").alias("chains"), "lost")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_rates, p7_containers, p8_found, p8_tolerant, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
