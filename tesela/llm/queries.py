@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import encoding, leaks, packing, terms, truncation
+from tesela.llm import encoding, leaks, packing, same_product, terms, truncation
 from tesela.runtime import table
 
 
@@ -37,6 +37,14 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(_cuts(spark, d)).withColumnRenamed("source", "seller")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_product.pairs(same_product.groups(table(spark, d, "productos")))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return same_product.groups(table(spark, d, "productos"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(table(spark, d, "documents"), "doc_id").withColumnRenamed("key", "doc_id")
 
@@ -61,5 +69,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(table(spark, d, "documents"), "doc_id").filter("garbled").select("doc_id", "restored", F.concat_ws("; ", "chains").alias("chains"), "lost")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_rates, p7_containers, p8_found, p8_tolerant, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_rates, p5_found, p5_groups, p7_containers, p8_found, p8_tolerant, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
