@@ -70,4 +70,15 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_rates, p5_found, p5_groups, p7_containers, p8_found, p8_tolerant, p9_found, p9_restored)}
-ORACLES: dict[str, str] = {}
+_TERMS = """
+WITH t AS (SELECT 'category' AS field, row_number() OVER () AS r, unnest(regexp_extract_all(lower(category), '[\\p{L}\\p{N}]+')) AS term FROM productos
+ UNION ALL SELECT 'country', row_number() OVER (), lower(regexp_replace(country, '^\\s+|\\s+$', '', 'g')) FROM ciudades),
+ n AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT r) AS n FROM t WHERE term <> '' GROUP BY 1, 2),
+ m AS (SELECT field, term, occurrences, n AS rows, CASE WHEN n < 3 THEN 'rare' WHEN n > 0.05e0 * (CASE field WHEN 'category' THEN (SELECT count(*) FROM productos) ELSE (SELECT count(*) FROM ciudades) END) THEN 'common' END AS mark FROM n)
+"""
+_GRAMS = "SELECT {id} AS id, unnest([array_to_string(w[i:i+12], ' ') FOR i IN range(1, len(w) - 11)]) AS g FROM (SELECT {id}, regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table})"
+ORACLES: dict[str, str] = {
+    "p2_found": f"{_TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
+    "p2_terms": f"{_TERMS} SELECT field, term, occurrences, rows, mark FROM m",
+    "p8_found": f"SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM ({_GRAMS.format(id='doc_id', table='documents')}) d JOIN ({_GRAMS.format(id='item_id', table='evaluacion')}) e USING (g)",
+}

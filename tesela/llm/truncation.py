@@ -32,6 +32,8 @@ SPIKE_LEAST, SPIKE_TIMES, ABOVE = 5, 4.0, 0.01
 #: Bytes that a cut by bytes may leave unused (the longest UTF-8 character less one).
 SLACK = 3
 TERMINATED_SHARE = 0.6
+#: A usual end of a value without terminal punctuation: occurrences, and share among such values of sources without a limit.
+USUAL_LEAST, USUAL_SHARE = 10, 0.1
 VOCABULARY_SHARE = 1 / 5000
 USUAL_END_SHARE, END_RATE, GOES_ON_RATE, BEGINS_TIMES = 0.0005, 0.02, 0.001, 10
 #: Characters at the end of a value that are looked at for what ends it (its lengths are those of the whole).
@@ -100,7 +102,7 @@ def judged(df: DataFrame, source: str, key: str, columns: tuple[str, ...]) -> Da
             # a usual end is frequent among the values without terminal punctuation at any length; a cut ends anywhere
             free = rows.filter(~F.col("finished") & F.col("limit").isNull() & ~F.col("marked"))
             total = free.agg(F.count("*").alias("free"))
-            usual = free.filter("last <> ''").groupBy(F.col("last").alias("word")).agg(F.count("*").alias("e")).join(F.broadcast(total)).filter("e >= 0.1 * free").select("word")
+            usual = free.filter("last <> ''").groupBy(F.col("last").alias("word")).agg(F.count("*").alias("e")).join(F.broadcast(total)).filter(f"e >= {USUAL_LEAST} and e >= {USUAL_SHARE} * free").select("word")
             rows = rows.join(F.broadcast(usual.withColumn("usual", F.lit(True))), F.col("last") == F.col("word"), "left")
             usual_end = F.coalesce("usual", F.lit(False))
             cut_here = ~F.col("finished") & ~usual_end
