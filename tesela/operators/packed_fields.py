@@ -201,12 +201,12 @@ def unpack(df: DataFrame, kinds: dict[str, Kind], row: list[str], least: int = 1
     marks = F.lit(False)
     for f, k in kinds.items():  # a field without any mark is one value, whatever the dialect
         marks = marks | ((F.col("field") == f) & F.col("raw").rlike(r"[^\p{L}\p{N}\s&()'-]|[\t\n\r]" if k.by_value else r"[\s|;,\"\[]"))
-    simple = long.filter(~marks)
-    long = long.filter(marks)
     by_template = [f for f, k in kinds.items() if not k.by_value]
     long = long.withColumn("key", F.when(F.col("field").isin(by_template), F.regexp_replace("raw", r"[\p{L}\p{N}]+", "w")).otherwise(F.col("raw")))
+    # fields of one value count too: they show what values look like
     chosen = dialects(long.groupBy("field", "key").agg(F.count("*").alias("n")), kinds)
     chosen = broadcast_if_small(chosen, F.octet_length("key"))
+    simple, long = long.filter(~marks), long.filter(marks)
     parsed = long.join(chosen, ["field", "key"]).select(*row, "field", "raw", "dialect")
 
     @F.pandas_udf("array<string>")

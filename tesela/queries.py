@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesela import table_queries
 from tesela.functions.geo import latitude, longitude
 from tesela.operators import bad_rows, nearby, packed_fields
 from tesela.runtime import table
@@ -40,5 +41,30 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("geo_a"), F.col("b").alias("geo_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_reasons, p4_clean, p6_found)}
-ORACLES: dict[str, str] = {}
+_FIELD = r"""(?:"[^"]*(?:""[^"]*)*"|[^",\r\n]*)"""
+_NUMBER = "([0-9]+([.,][0-9]*)?|[.,][0-9]+)"
+
+
+def _degrees(column: str, letters: str, negative: str, limit: int) -> str:
+    text = f"upper(trim({column}))"
+    bare = f"try_cast(replace(regexp_extract({text}, '{_NUMBER}'), ',', '.') AS DOUBLE)"
+    sign = f"CASE WHEN {text} LIKE '-%' OR regexp_matches({text}, '[{negative}]$') THEN -1 ELSE 1 END"
+    good = f"regexp_matches({text}, '^([+-]?\\s*{_NUMBER}|{_NUMBER}\\s*[{letters}])$') AND {bare} <= {limit}"
+    return f"CASE WHEN {good} THEN {bare} * {sign} END"
+
+
+QUERIES = {**table_queries.QUERIES, **{f.__name__: f for f in (p1_found, p4_found, p4_reasons, p4_clean, p6_found)}}
+ORACLES: dict[str, str] = {
+    **table_queries.ORACLES,
+    "p4_found": f"""
+WITH r AS (SELECT line_id, raw_line, regexp_full_match(coalesce(raw_line, ''), '{_FIELD}(,{_FIELD}){{5}}', 's') AND raw_line IS NOT NULL AS shaped,
+ regexp_extract(raw_line, '^(?:{_FIELD},){{3}}({_FIELD}),', 1) AS price, regexp_extract(raw_line, '^(?:{_FIELD},){{5}}({_FIELD})$', 1) AS description FROM lineas_crudas)
+SELECT DISTINCT line_id FROM r WHERE NOT coalesce(shaped
+ AND regexp_full_match(CASE WHEN price LIKE '"%' THEN replace(price[2:-2], '""', '"') ELSE price END, '\\s*({bad_rows.AMOUNT}(\\s*-\\s*{bad_rows.AMOUNT})?)?\\s*')
+ AND NOT regexp_matches(description, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]'), false)""",
+    "p6_found": f"""
+WITH c AS (SELECT geo_id, {_degrees("latitude", "NS", "S", 90)} AS lat, {_degrees("longitude", "EWO", "WO", 180)} AS lon, loaded_at FROM ciudades WHERE geo_id IS NOT NULL),
+ p AS (SELECT geo_id, arg_max(lat, loaded_at) AS lat, arg_max(lon, loaded_at) AS lon FROM c WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) GROUP BY geo_id)
+SELECT a.geo_id AS geo_a, b.geo_id AS geo_b FROM p a JOIN p b ON a.geo_id < b.geo_id AND abs(a.lat - b.lat) < 0.03
+WHERE 12742e0*asin(least(1e0,sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2e0),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2e0),2)))) <= 3""",
+}
