@@ -120,7 +120,10 @@ class Finder:
             for w in places:
                 if w < seen:  # inside the last overlap of this alignment, up to its last whole window
                     continue
-                run, wide, bad, end = overlap(h, self.items[item][1], w, w - shift)
+                b = self.items[item][1]
+                if np.count_nonzero(h[w : w + SPAN] == b[w - shift : w - shift + SPAN]) < SPAN - TOLERATED:
+                    continue  # the seed agrees, but too many of the ignored words differ
+                run, wide, bad, end = overlap(h, b, w, w - shift)
                 seen = max(w + 1, end - SPAN + 1)
                 old = best.get(item, (0, 0, 0))
                 best[item] = (max(old[0], run), *max(((wide, bad), old[1:]), key=lambda x: (x[0], -x[1])))
