@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tesela.llm.listings import attributes, joined, names
 from tesela.runtime import cut
 
-#: Share of a word's listings with a model code from which on it is no model name, and words that a title may hold as names.
+#: Share of a word's listings with a model code above which it is no model name.
 CODED_SHARE = 0.1
 #: Weights of the score: a kind covered, a bit of frequency, a place of the average position.
 LENGTH_WEIGHT, FREQUENCY_WEIGHT, POSITION_WEIGHT = 64.0, 1.0, 0.05
