@@ -123,3 +123,14 @@ def test_encoding(spark):
     assert set(got) == {1000, 1001, 1002, 1003}
     assert "bajó" in got[1001]["restored"] and "bajó" in got[1002]["restored"] and got[1003]["lost"]
     assert encoding.repaired(df.limit(0), "id").count() == 0
+
+
+def test_encoding_mixups_onto_usual_letters():
+    good = ["Alguém também pediu café e até agora ninguém vende uma série de {} peças? ", "O café da {} também é ótimo e a irmã já pediu três. ", "A última versão guarda os {} registros do catálogo. "]
+    caps = "LA PIÈCE A ÉTÉ REMPLACÉE APRÈS LA DERNIÈRE RÉVISION. "
+    model = encoding.Model({"pt": "".join(g.format(i) for i in range(50) for g in good).encode(), "fr": (caps * 50).encode()}, {c for c in "".join([*good, caps]) if c > "\x7f"})
+    right = "Alguém também pediu café e até agora ninguém vende uma série de 73 caixas? "
+    bad = right.encode("cp1252").decode("mac_roman")
+    assert all(c in model.usual for c in bad if c > "\x7f")
+    assert encoding.restore(bad, model) == (right, ["mac_roman>cp1252"], False)
+    assert encoding.restore(right + caps, model) == (right + caps, [], False)
