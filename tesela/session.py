@@ -82,6 +82,8 @@ class Engine:
         if self.storage.exists(s.table):
             raise EngineError(400, f"table {s.table} exists")
         raw = csv_source.read_csv(self.spark, s.path)
+        if s.index.kind == "rtree" and not set(s.index.columns) <= set(raw.columns):
+            raw = csv_source.aliased(raw)
         columns = csv_source.infer(raw)
         missing = [c for c in s.index.columns if c not in raw.columns]
         if missing:

@@ -64,10 +64,10 @@ def load(df: DataFrame, columns: tuple[ColumnDef, ...], profile: str | None = No
 
 
 def aliased(df: DataFrame) -> DataFrame:
-    """A cities file with its headers resolved to name, latitude and longitude; other columns stay."""
+    """A cities file with its headers renamed to name, latitude and longitude; other columns stay."""
     have = {c.lower(): c for c in df.columns}
     for to, names in ALIASES.items():
         found = [have[n] for n in names if n in have]
         if found and to not in have:
-            df = df.withColumn(to, F.col(f"`{found[0]}`"))
+            df = df.withColumnRenamed(found[0], to)
     return df

@@ -105,3 +105,14 @@ def test_nested_searches(spark):
     assert near(11)[:10] == near(10)
     def inside(km): return {r["id"] for r in radius(df, "lon", "lat", 3, 4, km, ["id"]).collect()}
     assert inside(1000) <= inside(3000)
+
+
+def test_places_file_with_other_headers(engine, tmp_path):
+    path = tmp_path / "places.csv"
+    path.write_text("city,lat,lng,country\nA,1.0,2.0,X\nB,50.0,60.0,Y\n")
+    r = engine.sql(f'CREATE TABLE L FROM FILE "{path}" USING INDEX rtree(latitude, longitude)')
+    assert (r.status, r.rows_skipped) == (200, 0)
+    got = engine.sql("SELECT * FROM L WHERE RANGE((2.0, 1.0), 10)").rows()
+    assert [(x["name"], x["latitude"], x["longitude"], x["country"]) for x in got] == [("A", "1.0", "2.0", "X")]
+    assert engine.sql(f'CREATE TABLE M FROM FILE "{path}" USING INDEX rtree(lat, lng)').status == 200
+    assert engine.sql(f'CREATE TABLE N FROM FILE "{path}" USING INDEX rtree(x, y)').status == 400
