@@ -125,12 +125,45 @@ def test_encoding(spark):
     assert encoding.repaired(df.limit(0), "id").count() == 0
 
 
-def test_encoding_mixups_onto_usual_letters():
-    good = ["Alguém também pediu café e até agora ninguém vende uma série de {} peças? ", "O café da {} também é ótimo e a irmã já pediu três. ", "A última versão guarda os {} registros do catálogo. "]
-    caps = "LA PIÈCE A ÉTÉ REMPLACÉE APRÈS LA DERNIÈRE RÉVISION. "
-    model = encoding.Model({"pt": "".join(g.format(i) for i in range(50) for g in good).encode(), "fr": (caps * 50).encode()}, {c for c in "".join([*good, caps]) if c > "\x7f"})
-    right = "Alguém também pediu café e até agora ninguém vende uma série de 73 caixas? "
-    bad = right.encode("cp1252").decode("mac_roman")
-    assert all(c in model.usual for c in bad if c > "\x7f")
-    assert encoding.restore(bad, model) == (right, ["mac_roman>cp1252"], False)
-    assert encoding.restore(right + caps, model) == (right + caps, [], False)
+_TEXTS = {
+    "es": ["El precio bajó de {} a {} durante la campaña de verano. ", "¿Alguien sabe si la máquina del año {} todavía funciona? ", "LA OPINIÓN DEL PÚBLICO DURARÁ {} DÍAS… ", "La etiqueta dice «señal {}» y según la guía está bien. "],
+    "pt": ["Alguém também pediu café e até agora ninguém vende uma série de {} peças? ", "A última versão guarda os {} registros do catálogo. ", "“Não há opções” — disse a irmã às {} horas. "],
+    "fr": ["L’étiquette de la pièce {} n’était pas lisible. ", "C’ÉTAIT LA DERNIÈRE RÉVISION, MA SŒUR, APRÈS {} JOURS. ", "Où est le câble {} ? Déjà renvoyé, c’était trop court… ", "À l’été, l’équipe a reçu {} colis. "],
+    "de": ["Der Schlüssel {} ist weiß… und größer. ", "DIE PRÜFUNG WIRD BENÖTIGT: {} STÜCK. ", "Straße {}: die Tür heißt „Ausgang“. "],
+    "en": ["It’s the label {} and it’ll last… ", "The buyer didn’t answer for {} hours — “never”, they said. ", "My order {} cost 30 € in total. "],
+}
+
+
+def _corpus(n):
+    rng = random.Random(7)
+    for i in range(n):
+        lang = rng.choice(list(_TEXTS))
+        yield i, "".join(rng.choice(_TEXTS[lang]).format(*rng.sample(range(1, 999), 2)) for _ in range(rng.randint(2, 6))), lang if rng.random() > 0.05 else None
+
+
+def _garbled(text, how, rng):
+    wrong, right, times = how
+    for _ in range(times):
+        try:
+            text = text.encode(right).decode(wrong)
+        except UnicodeError:
+            return None
+    return text
+
+
+@pytest.mark.parametrize("sample", [800, 64])
+def test_encoding_found_and_restored(spark, monkeypatch, sample):
+    monkeypatch.setattr(encoding, "SAMPLE_DOCS", sample)
+    rng, rows, truth = random.Random(8), [], {}
+    ways = [("cp1252", "utf-8", 1), ("latin-1", "utf-8", 1), ("mac_roman", "utf-8", 1), ("cp437", "utf-8", 1), ("mac_roman", "cp1252", 1), ("cp1250", "utf-8", 1), ("latin-1", "utf-8", 2), ("cp850", "cp1252", 1), ("latin-1", "cp1252", 1)]
+    for i, text, lang in _corpus(1500):
+        bad = _garbled(text, rng.choice(ways), rng) if i % 25 == 0 else None
+        if bad and bad != text:
+            truth[i] = text
+        rows.append((i, bad or text, lang))
+    df = spark.createDataFrame(rows, "id long, text string, lang string").withColumn("restored", F.lit("clash"))
+    got = {r["id"]: r["restored"] for r in encoding.repaired(df.drop("restored"), "id").filter("garbled").collect()}
+    assert len(truth) > 35
+    assert not set(got) - set(truth), [(rows[i][1], got[i]) for i in set(got) - set(truth)]
+    assert len(set(truth) & set(got)) >= 0.95 * len(truth), [rows[i][1] for i in set(truth) - set(got)]
+    assert sum(got[i] == truth[i] for i in got) >= 0.9 * len(got)
