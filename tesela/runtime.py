@@ -11,14 +11,35 @@ from pyspark.sql import types as T
 
 #: Bytes up to which a measured lookup table may be broadcast.
 BROADCAST_LIMIT = 16 << 20
+_made: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; make a private one only where none is set (tests)."""
+    """Use the folder of ``spark.checkpoint.dir``; make a private one only where none is set and all runs on this machine (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tesela-checkpoint-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesela-checkpoint-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path inside the folder that all executors share; :func:`clean_up` deletes it."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables that cut lineages so far, once no DataFrame that came from them is used any more. Returns their number."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,8 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     Unlike ``checkpoint()``, the table is compressed, read by column, and known by its true size to the join planner.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -43,6 +63,24 @@ def broadcast_if_small(df: DataFrame, *weights: Column, limit: int = BROADCAST_L
     return F.broadcast(df) if size <= limit else df
 
 
+def lookup(rows: DataFrame, column: str, known: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` left-joined to ``known`` (unique ``key``) on ``column``, without ``key`` and ``weight``, safe where few keys hold most rows.
+
+    ``weight`` is the number of rows with the key. A ``known`` of small measured size is broadcast whole. Else the keys with
+    more than a partition's share of the rows, of which there are no more than partitions, are broadcast, and the others shuffled.
+    """
+    size = known.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 48), F.sum(weight)).first()
+    on = F.col(column) == F.col(f"__{key}")
+    renamed = known.withColumnRenamed(key, f"__{key}").drop(weight)
+    if (size[0] or 0) <= BROADCAST_LIMIT:
+        return rows.join(F.broadcast(renamed), on, "left").drop(f"__{key}")
+    share = size[1] / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col("__weight") >= share
+    weighed = known.withColumnRenamed(key, f"__{key}").withColumnRenamed(weight, "__weight")
+    hot = F.broadcast(weighed.filter(is_hot).drop("__weight"))
+    return rows.join(hot, on).drop(f"__{key}").unionByName(rows.join(hot, on, "left_anti").join(weighed.filter(~is_hot).drop("__weight"), on, "left").drop(f"__{key}"))
+
+
 def with_ids(df: DataFrame, order: list[str], name: str = "id", partitions: int | None = None) -> DataFrame:
     """Give every row a dense number from 0 in the global order of ``order`` (which must be a unique key).
 
@@ -53,13 +91,14 @@ def with_ids(df: DataFrame, order: list[str], name: str = "id", partitions: int
     part, here = f"__{name}_part", f"__{name}_here"
     ranged = cut(df.repartitionByRange(n, *[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(here, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part).count().collect())
-    base, at = {}, 0
+    if not sizes:
+        return ranged.select(*df.columns, F.lit(0).cast("long").alias(name))
+    base, at = [0] * (sizes[-1][0] + 1), 0
     for p, c in sizes:
         base[p], at = at, at + c
-    if not base:
-        return ranged.select(*df.columns, F.lit(0).cast("long").alias(name))
-    offsets = F.create_map(*[F.lit(x).cast("long") for kv in base.items() for x in kv])
-    return ranged.select(*df.columns, (F.element_at(offsets, F.col(part).cast("long")) + F.col(here)).alias(name))
+    # a constant array, by which a row finds its offset in one step
+    offsets = F.split(F.lit(",".join(map(str, base))), ",").cast("array<bigint>")
+    return ranged.select(*df.columns, (F.get(offsets, F.col(part)) + F.col(here)).alias(name))
 
 
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:

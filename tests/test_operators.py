@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tesela.functions.geo import latitude, longitude
 from tesela.operators import bad_rows, nearby, packed_fields
+from tesela import runtime
 from tesela.runtime import with_ids
 
 
@@ -15,6 +16,19 @@ def test_with_ids(spark):
     assert with_ids(df.limit(0), ["v"], "n").count() == 0
 
 
+def test_lookup_of_hot_keys(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None), (998, "none")], "i long, last string")
+    known = rows.filter("last is not null and last <> 'none'").groupBy(F.col("last").alias("word")).agg(F.count("*").alias("n")).withColumn("seen", F.concat("word", F.lit("!")))
+    small = sorted(map(str, runtime.lookup(rows, "last", known, "word", "n").collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_LIMIT", 0)
+    assert sorted(map(str, runtime.lookup(rows, "last", known, "word", "n").collect())) == small and len(small) == 302
+
+
+def test_clean_up(spark):
+    kept = runtime.cut(spark.range(5))
+    assert kept.count() == 5 and runtime.clean_up(spark) > 0 and runtime.clean_up(spark) == 0
+
+
 def test_record_states():
     parse = bad_rows.parse_record
     assert parse("a,b") == (["a", "b"], "ok")
