@@ -63,17 +63,18 @@ def broadcast_if_small(df: DataFrame, *weights: Column, limit: int = BROADCAST_L
     return F.broadcast(df) if size <= limit else df
 
 
-def lookup(rows: DataFrame, column: str, known: DataFrame, key: str, weight: str) -> DataFrame:
+def lookup(rows: DataFrame, column: str, known: DataFrame, key: str, weight: str, telling: Column | None = None) -> DataFrame:
     """``rows`` left-joined to ``known`` (unique ``key``) on ``column``, without ``key`` and ``weight``, safe where few keys hold most rows.
 
     ``weight`` is the number of rows with the key. A ``known`` of small measured size is broadcast whole. Else the keys with
     more than a partition's share of the rows, of which there are no more than partitions, are broadcast, and the others shuffled.
+    Rows of ``known`` that are not ``telling`` may be left out, where the caller takes a missing row for one that tells nothing.
     """
-    size = known.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 48), F.sum(weight)).first()
+    needed = F.lit(True) if telling is None else telling
+    size = known.agg(F.sum(F.when(needed, F.octet_length(F.col(key).cast("string")) + 48)), F.sum(weight)).first()
     on = F.col(column) == F.col(f"__{key}")
-    renamed = known.withColumnRenamed(key, f"__{key}").drop(weight)
     if (size[0] or 0) <= BROADCAST_LIMIT:
-        return rows.join(F.broadcast(renamed), on, "left").drop(f"__{key}")
+        return rows.join(F.broadcast(known.filter(needed).withColumnRenamed(key, f"__{key}").drop(weight)), on, "left").drop(f"__{key}")
     share = size[1] / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_hot = F.col("__weight") >= share
     weighed = known.withColumnRenamed(key, f"__{key}").withColumnRenamed(weight, "__weight")
