@@ -8,8 +8,9 @@ nearly all end with terminal punctuation, one without it is cut, unless its last
 other columns (titles), the last word decides, with the counts of all words of the column: a word that goes on nearly always, or
 a rare one that only begins a frequent word or a word of the row's other column, is no end.
 
-All counts cover all rows. Word lists that reach every task are bounded: at most ``1 / VOCABULARY_SHARE`` words for each word
-that a value holds on average.
+All counts cover all words of all rows, and thresholds are shares and ratios, so that a table of any size is judged alike; only
+a least number of cases is asked for (``SPIKE_LEAST``, ``USUAL_LEAST``). A last word is judged once, however many values end with it, and
+what is found is joined to the values; the few words that end many values are spread (:func:`tesela.runtime.lookup`).
 
 Defined results: null and blank values are no case and do not count for rates; a null source is a source of its own; repeated
 rows are judged each; of two equal spikes the longer counts; an empty table gives an empty result.
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesela.runtime import broadcast_if_small, cut
+from tesela.runtime import broadcast_if_small, cut, lookup
 
 #: Marks of omission at the end of a value.
 OMISSION = r"\s*(?:…|\.{3,}|\[\s*(?:…|\.{2,})\s*\]|\(\s*(?:…|\.{2,})\s*\))\s*$"
@@ -34,8 +35,11 @@ SLACK = 3
 TERMINATED_SHARE = 0.6
 #: A usual end of a value without terminal punctuation: occurrences, and share among such values of sources without a limit.
 USUAL_LEAST, USUAL_SHARE = 10, 0.1
-VOCABULARY_SHARE = 1 / 5000
+#: A word that others only begin is frequent: its occurrences by rows at least.
+FREQUENT_SHARE = 1 / 5000
 USUAL_END_SHARE, END_RATE, GOES_ON_RATE, BEGINS_TIMES = 0.0005, 0.02, 0.001, 10
+#: Letters up to which all beginnings of a word are listed; longer ones are found by their first letters.
+BEGINNING = 24
 #: Characters at the end of a value that are looked at for what ends it (its lengths are those of the whole).
 TAIL = 80
 
@@ -80,10 +84,25 @@ def spikes(long: DataFrame) -> DataFrame:
     return best.withColumn("r", F.row_number().over(strongest)).filter("r = 1").select("source", "field", "marked", "unit", "limit")
 
 
-def _words(texts: DataFrame, column: str, ends: DataFrame) -> DataFrame:
-    """(word, n, ends) of the words of a column."""
+def _words(texts: DataFrame, column: str) -> DataFrame:
+    """(word, n) of the words of a column."""
     words = texts.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{column}`").cast("string")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).join(ends, "word", "left").withColumn("ends", F.coalesce("ends", F.lit(0)))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def _last_words(texts: DataFrame, column: str, rows: DataFrame, total: int) -> DataFrame:
+    """(word, ends, usual, unfit, begins) of every last word: whether it is a usual end, nearly always goes on, or only begins a frequent word."""
+    ends = cut(rows.filter("last <> ''").groupBy(F.col("last").alias("word")).agg(F.count("*").alias("ends")))
+    words = cut(_words(texts, column))
+    frequent = words.filter((F.col("n") >= FREQUENT_SHARE * total) & (F.length("word") > 1)).select(F.col("word").alias("whole"), "n")
+    starts = frequent.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("whole") - 1, F.lit(BEGINNING))), lambda k: F.substring(F.col("whole"), F.lit(1), k))).alias("word"))
+    short = starts.groupBy("word").agg(F.max("n").alias("begins"))
+    long = ends.filter(F.length("word") > BEGINNING).select("word", F.substring("word", 1, BEGINNING).alias("first"))
+    long = long.join(frequent.filter(F.length("whole") > BEGINNING).withColumn("first", F.substring("whole", 1, BEGINNING)), "first").filter(F.col("whole").startswith(F.col("word")) & (F.length("whole") > F.length("word")))
+    begins = short.unionByName(long.groupBy("word").agg(F.max("n").alias("begins")))
+    n, e, b = (F.coalesce(c, F.lit(0)) for c in ("n", "ends", "begins"))
+    judged_ = ends.join(words, "word", "left").join(begins, "word", "left")
+    return judged_.select("word", "ends", ((e >= USUAL_END_SHARE * total) & (e >= END_RATE * n)).alias("usual"), ((n > 0) & (e < GOES_ON_RATE * n)).alias("goes_on"), (b >= BEGINS_TIMES * F.greatest(n, F.lit(1))).alias("begins"))
 
 
 def judged(df: DataFrame, source: str, key: str, columns: tuple[str, ...]) -> DataFrame:
@@ -101,24 +120,19 @@ def judged(df: DataFrame, source: str, key: str, columns: tuple[str, ...]) -> Da
         if fact["share"] >= TERMINATED_SHARE:
             # a usual end is frequent among the values without terminal punctuation at any length; a cut ends anywhere
             free = rows.filter(~F.col("finished") & F.col("limit").isNull() & ~F.col("marked"))
-            total = free.agg(F.count("*").alias("free"))
-            usual = free.filter("last <> ''").groupBy(F.col("last").alias("word")).agg(F.count("*").alias("e")).join(F.broadcast(total)).filter(f"e >= {USUAL_LEAST} and e >= {USUAL_SHARE} * free").select("word")
+            total = free.count()
+            usual = free.filter("last <> ''").groupBy(F.col("last").alias("word")).agg(F.count("*").alias("e")).filter(F.col("e") >= max(USUAL_LEAST, USUAL_SHARE * total)).select("word")
+            # at most 1 / USUAL_SHARE words
             rows = rows.join(F.broadcast(usual.withColumn("usual", F.lit(True))), F.col("last") == F.col("word"), "left")
             usual_end = F.coalesce("usual", F.lit(False))
             cut_here = ~F.col("finished") & ~usual_end
             cause = F.when(F.col("marked"), F.when(near & ~F.col("finished"), "limit")).when(cut_here, F.when(near, "limit").otherwise("transfer"))
         else:
-            ends = rows.filter("last <> ''").groupBy(F.col("last").alias("word")).agg(F.count("*").alias("ends"))
-            words = cut(_words(df, field, ends).filter((F.col("n") >= VOCABULARY_SHARE * fact["rows"]) & (F.col("n") >= 3)))
-            starts = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("word")).groupBy("word").agg(F.max("n").alias("begins"))
-            known = words.select("word", "n", "ends").join(starts, "word", "full")
-            rows = rows.join(F.broadcast(known), F.col("last") == F.col("word"), "left")  # bounded by VOCABULARY_SHARE
-            n, e, b = (F.coalesce(c, F.lit(0)) for c in ("n", "ends", "begins"))
+            known = cut(_last_words(df, field, rows, fact["rows"]))
+            rows = lookup(rows, "last", known, "word", "ends", F.col("usual") | F.col("goes_on") | F.col("begins"))
+            rows = rows.na.fill(False, ["usual", "goes_on", "begins"])
             letters = F.col("last").rlike(r"^\p{L}+$")
-            usual_end = (e >= USUAL_END_SHARE * fact["rows"]) & (e >= END_RATE * n)
-            goes_on = (n > 0) & (e < GOES_ON_RATE * n)
-            begins = b >= BEGINS_TIMES * F.greatest(n, F.lit(1))
-            unfit = letters & ~usual_end & (goes_on | (~F.col("named") & (F.col("begun") | begins)))
+            unfit = letters & ~F.col("usual") & (F.col("goes_on") | (~F.col("named") & (F.col("begun") | F.col("begins"))))
             broken = ~F.col("finished") & (F.col("open") | F.coalesce(unfit, F.lit(False)))
             cause = F.when(F.col("marked"), F.when(near & ~F.col("finished"), "limit")).when(at & ~F.col("finished"), "limit").when(broken, F.when(near, "limit").otherwise("transfer"))
         cause = F.coalesce(cause, F.when(F.col("lost"), F.when(near, "limit").otherwise("transfer")))

@@ -36,6 +36,22 @@ def test_truncation(spark):
     assert rates["cutter"]["cut_by_limit"] > 100 and None in rates
 
 
+def test_truncation_is_the_same_at_every_size(spark, monkeypatch):
+    rng = random.Random(6)
+    nouns = [f"{a}{b}" for a in ("jarra", "mesa", "lampara", "teclado", "cuchillo", "ventilador") for b in ("", "s", "dor", "norte")]
+    # rare words too, some of which begin frequent ones without being cut
+    titles = [f"{rng.choice(nouns)} {rng.choice(nouns)} modelo {rng.choice(['rojo', 'azul', f'q{i}', 'lamp', 'venti'])}" for i in range(1500)]
+    rows = [(i, f"s{i % 5}", t[: rng.randint(12, 22)] if i % 19 == 0 else t) for i, t in enumerate(titles)]
+    one = spark.createDataFrame(rows, "k long, s string, d string")
+    ten = one.crossJoin(spark.range(10)).select((F.col("k") * 10 + F.col("id")).alias("k"), "s", "d")
+    got = {r["key"]: r["cause"] for r in truncation.judged(one, "s", "k", ("d",)).collect()}
+    more = {r["key"]: r["cause"] for r in truncation.judged(ten, "s", "k", ("d",)).collect()}
+    assert any(got.values()) and all(more[k * 10 + j] == c for k, c in got.items() for j in (0, 7))
+    monkeypatch.setattr(truncation, "BEGINNING", 3)
+    monkeypatch.setattr("tesela.runtime.BROADCAST_LIMIT", 0)
+    assert {r["key"]: r["cause"] for r in truncation.judged(one, "s", "k", ("d",)).collect()} == got
+
+
 def test_listing_tokens():
     codes, sizes, colours, _ = listings.attributes("Mod. ETL/857O X jarra 1,5 litros rosado")
     assert (codes, sizes, colours) == (["etl8570x"], ["v1500"], ["pink"])
