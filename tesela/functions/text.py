@@ -8,11 +8,22 @@ import unicodedata
 _WORD = re.compile(r"[^\W_]+")
 
 
+class _Marks(dict[int, int | None]):
+    """Deletes combining marks in ``str.translate``; each character is looked up once."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = None if unicodedata.combining(chr(c)) else c
+        return self[c]
+
+
+_MARKS = _Marks()
+
+
 def plain(text: str) -> str:
     """``text`` without case and accents; letters that have no accent stay as they are."""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFD", text.casefold()).translate(_MARKS)
 
 
 def words(text: str) -> list[str]:

@@ -63,6 +63,15 @@ def broadcast_if_small(df: DataFrame, *weights: Column, limit: int = BROADCAST_L
     return F.broadcast(df) if size <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, shuffled only where a scan has fewer partitions than there are cores; a large table is read as it lies."""
+    spark = df.sparkSession
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def lookup(rows: DataFrame, column: str, known: DataFrame, key: str, weight: str, telling: Column | None = None) -> DataFrame:
     """``rows`` left-joined to ``known`` (unique ``key``) on ``column``, without ``key`` and ``weight``, safe where few keys hold most rows.
 
