@@ -49,16 +49,16 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(table(spark, d, "documents"), "doc_id").withColumnRenamed("key", "doc_id")
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "evaluacion"), "doc_id", "item_id")
+def _leaks(spark: SparkSession, d: str, tolerated: int) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "evaluacion"), "doc_id", "item_id", tolerated=tolerated)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).filter(F.col("run") >= leaks.SPAN).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    return _leaks(spark, d, 0).filter(F.col("run") >= leaks.SPAN).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 def p8_tolerant(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).filter(F.col("overlap") >= leaks.SPAN).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "run", "overlap", "substitutions")
+    return _leaks(spark, d, leaks.TOLERATED).filter(F.col("overlap") >= leaks.SPAN).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "run", "overlap", "substitutions")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -110,7 +110,7 @@ def test_masks():
             assert any(a not in m and b not in m for m in ms)
 
 
-@pytest.mark.parametrize("limit", [leaks.SEED_LIMIT, 0])
+@pytest.mark.parametrize("limit", [leaks.SEED_LIMIT, 100])
 def test_leaks(spark, limit):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(500)]
@@ -125,6 +125,43 @@ def test_leaks(spark, limit):
     assert got[1, 10][0] == 17 and got[7, 10][0] == 13 and got[1, 11] == got[1, 10]
     assert got[3, 10] == (11, 20, 1)
     assert {k for k, v in got.items() if v[0] >= leaks.SPAN} == {(1, 10), (1, 11), (7, 10), (7, 11)}
+    exact = {(r["doc"], r["item"]): r["run"] for r in leaks.leaks(d, t, "doc_id", "item_id", tolerated=0, seed_limit=limit).collect()}
+    assert exact == {k: v[0] for k, v in got.items() if v[0] >= leaks.SPAN}
+    assert leaks.leaks(d.limit(0), t, "doc_id", "item_id").count() == 0 and leaks.leaks(d, t.limit(0), "doc_id", "item_id").count() == 0
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
+    """A passage in a fifth of the documents, items without blanks, null keys, several batches and blocks; and planted substitutions."""
+    rng = random.Random(9)
+    monkeypatch.setattr(leaks, "BATCH_WORDS", 300)
+    vocab = [f"v{i}" for i in range(3000)]
+    passage = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [passage(rng.randint(10, 60)) for _ in range(40)]
+    hot = items[0] = passage(50)
+    docs, planted = [], set()
+    for k in range(300):
+        text = passage(rng.randint(0, 80))
+        if k % 5 == 0:
+            text += hot[3:40]
+        elif k % 3 == 0:
+            i = rng.randrange(1, 40)
+            part = items[i][:]
+            at = rng.sample(range(len(part)), rng.randint(1, 2))
+            for p in at:
+                part[p] = "changed"
+            inner = range(min(at), max(at) + 1)
+            if len(part) >= 20 and inner[0] > 0 and inner[-1] < len(part) - 1:
+                planted.add((k, i))
+            text += part + passage(5)
+        docs.append((k if k % 50 else None, " ".join(text)))
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit("clash"))
+    t = spark.createDataFrame([(i, ",".join(w)) for i, w in enumerate(items)] + [(None, " ".join(hot))], "item_id long, text string").withColumn("h", F.lit(1))
+    grams = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+    want = {(key, i if i < 40 else None) for key, text in docs for i, w in enumerate([*items, hot]) if grams(text.split()) & grams(w)}
+    for limit in (leaks.SEED_LIMIT, 200):
+        assert {(r["doc"], r["item"]) for r in leaks.leaks(d, t, "doc_id", "item_id", tolerated=0, seed_limit=limit).collect()} == want
+    tolerant = {(r["doc"], r["item"]): r for r in leaks.leaks(d, t, "doc_id", "item_id").collect()}
+    assert want <= set(tolerant) and planted and all((k if k % 50 else None, i) in tolerant for k, i in planted)
 
 
 def test_encoding(spark):
