@@ -3,8 +3,10 @@
 Sizes are tokens of a public tokenizer. Items above the capacity are split into full parts and a rest; all others stay whole.
 The items are range-sorted by size and numbered in that order, all in parallel. As a size is a whole number up to the capacity,
 the sorted sequences of items and of gaps are runs of equals, and the supersteps (:func:`supersteps`) sweep the runs
-instead of the rows: which item takes which gap is then a matter of ranks, and conflicts cannot arise. The moves, a table
-bounded by the capacity, go to all tasks, and each item finds its container from its rank.
+instead of the rows: which item takes which gap is then a matter of ranks, and conflicts cannot arise. A superstep splits at most
+one run of gaps, so there are never more than three runs a size, and no more moves than three times the square of the capacity
+(some thousands in practice), whatever the number of items. The moves go to all tasks as sorted arrays, and each item finds its
+container from its rank by bisection.
 
 Defined results: null and empty texts have size 0, use no room and get container null; repeated rows are packed each; equal
 sizes are taken in the order of a hash of the row; an empty table gives an empty result.
@@ -14,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.runtime import cut, with_ids
+from tesela.runtime import cut, spread, with_ids
 
 CAPACITY = 1024
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -40,9 +43,8 @@ def count_tokens(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER)
             yield pd.DataFrame({"key": pdf["key"], "tokens": [len(e.ids) for e in got]})
 
     d = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
-    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counted = d.repartition(n).mapInPandas(run, d.select("key", F.lit(0).cast("long").alias("tokens")).schema)
-    return cut(counted).withColumn("row", F.monotonically_increasing_id())
+    counted = spread(d).mapInPandas(run, d.select("key", F.lit(0).cast("long").alias("tokens")).schema)
+    return cut(counted.withColumn("row", F.monotonically_increasing_id()))
 
 
 def items_of(counted: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -110,11 +112,17 @@ def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     first, at = {}, 0
     for size in sorted(counts):
         first[size], at = at, at + counts[size]
-    plan = items.sparkSession.createDataFrame([(s, first[s] + r, first[s] + r + n, each, c) for s, r, n, each, c in moves], "msize int, `from` long, `to` long, each long, first long")
-    # the moves are bounded by the capacity, whatever the number of items
-    placed = numbered.join(F.broadcast(plan), (F.col("size") == F.col("msize")) & (F.col("item") >= F.col("from")) & (F.col("item") < F.col("to")))
-    container = F.col("first") + F.floor((F.col("item") - F.col("from")) / F.col("each"))
-    return placed.select(*items.columns, container.cast("long").alias("container"))
+    plan = np.array(sorted((first[s] + r, each, c) for s, r, n, each, c in moves), np.int64).T
+    shared = items.sparkSession.sparkContext.broadcast(plan)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin, each, start = shared.value
+        for pdf in batches:
+            item = pdf.pop("item").to_numpy(np.int64)
+            m = np.searchsorted(begin, item, "right") - 1
+            yield pdf.assign(container=start[m] + (item - begin[m]) // each[m])
+
+    return numbered.mapInPandas(place, items.withColumn("container", F.lit(0).cast("long")).schema)
 
 
 def containers(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
