@@ -16,8 +16,7 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
     for field, source, of in (("category", "productos", terms.word_terms), ("country", "ciudades", terms.whole_term)):
         df = table(spark, d, source).select(field)
         counts = terms.term_counts(df, of(field))
-        total = df.agg(F.count("*").alias("total"))
-        parts.append(terms.marks(counts, total).select(F.lit(field).alias("field"), "term", "occurrences", "rows", "mark"))
+        parts.append(terms.marks(counts, df.count()).select(F.lit(field).alias("field"), "term", "occurrences", "rows", "mark"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -59,10 +59,12 @@ def term_counts(df: DataFrame, terms: Column) -> DataFrame:
     """(id, term, occurrences, rows) of the terms in the array ``terms`` of each row of ``df``."""
     spark = df.sparkSession
     once = df.select(terms.alias("terms"), F.spark_partition_id().alias("block")).filter(F.size("terms") > 0)
-    # a row's repeats are told from its first occurrences by their place, so that one pass counts both
-    places = once.select("block", "terms", F.posexplode("terms").alias("at", "term"))
-    first = (F.array_position("terms", F.col("term")) == F.col("at") + 1).cast("long")
-    blocks = cut(places.groupBy("block", "term").agg(F.count("*").alias("occ"), F.sum(first).alias("pres")))
+    # every term of a row, and once more each different one, so that one pass counts occurrences and rows
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    each = F.transform("terms", lambda t: F.struct(t.alias("term"), one.alias("occ"), none.alias("pres")))
+    different = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), none.alias("occ"), one.alias("pres")))
+    places = once.select("block", F.explode(F.concat(each, different)).alias("t")).select("block", "t.*")
+    blocks = cut(places.groupBy("block", "term").agg(F.sum("occ").alias("occ"), F.sum("pres").alias("pres")))
     dictionary = with_ids(blocks.select("term").distinct(), ["term"])
     encoded = blocks.join(dictionary, "term").select("block", F.floor(F.col("id") / RANGE).alias("range"), (F.col("id") % RANGE).cast("int").alias("offset"), "occ", "pres")
     # arrays of one block and range: at most RANGE entries
@@ -72,10 +74,6 @@ def term_counts(df: DataFrame, terms: Column) -> DataFrame:
     return dictionary.join(summed, "id")
 
 
-def marks(counts: DataFrame, total: DataFrame, rare_below: int = 3, common_share: float = 0.05) -> DataFrame:
-    """``counts`` with ``mark``: ``rare`` below ``rare_below`` rows, ``common`` above ``common_share`` of all rows, else null.
-
-    ``total`` is one row with ``total``, the number of rows of the table.
-    """
-    mark = F.when(F.col("rows") < rare_below, "rare").when(F.col("rows") > F.lit(common_share) * F.col("total"), "common")
-    return counts.join(F.broadcast(total)).withColumn("mark", mark).drop("total")
+def marks(counts: DataFrame, total: int, rare_below: int = 3, common_share: float = 0.05) -> DataFrame:
+    """``counts`` with ``mark``: ``rare`` below ``rare_below`` rows, ``common`` above ``common_share`` of all ``total`` rows, else null."""
+    return counts.withColumn("mark", F.when(F.col("rows") < rare_below, "rare").when(F.col("rows") > F.lit(common_share * total), "common"))

@@ -10,7 +10,7 @@ from tesela.llm import encoding, leaks, listings, packing, same_product, terms,
 def test_terms(spark):
     rows = [("a b a",), ("B c",), (None,), ("",), ("a",), ("a",)]
     df = spark.createDataFrame(rows, "t string").repartition(3)
-    got = {r["term"]: (r["occurrences"], r["rows"], r["mark"]) for r in terms.marks(terms.term_counts(df, terms.word_terms("t")), df.agg(F.count("*").alias("total")), 2, 0.4).collect()}
+    got = {r["term"]: (r["occurrences"], r["rows"], r["mark"]) for r in terms.marks(terms.term_counts(df, terms.word_terms("t")), df.count(), 2, 0.4).collect()}
     assert got == {"a": (4, 3, "common"), "b": (2, 2, None), "c": (1, 1, "rare")}
     assert terms.term_counts(df.limit(0), terms.word_terms("t")).count() == 0
     ids = sorted(r["id"] for r in terms.term_counts(df, terms.whole_term("t")).collect())
