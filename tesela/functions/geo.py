@@ -21,6 +21,26 @@ def valid_point(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~F.isnan(lat) & ~F.isnan(lon), F.lit(False))
 
 
+#: Bits of a cell along each axis: 2**16 cells around the globe, about 600 m wide at the equator.
+CELL_BITS = 16
+
+
+def _apart(c: Column) -> Column:
+    """The bits of a number of ``CELL_BITS`` bits, each followed by a zero bit."""
+    c = c.cast("long")
+    for shift in (8, 4, 2, 1):
+        keep = sum(((1 << shift) - 1) << k for k in range(0, 2 * CELL_BITS, 2 * shift))
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(keep))
+    return c
+
+
+def z_cell(lon: Column, lat: Column) -> Column:
+    """The place on a Z-order curve of a point's cell, so that near places have near codes."""
+    top = 2**CELL_BITS
+    x, y = (F.greatest(F.lit(0), F.least(F.lit(top - 1), F.floor((v + half) * (top / (2 * half))))) for v, half in ((lon, 180.0), (lat, 90.0)))
+    return F.shiftleft(_apart(y), 1).bitwiseOR(_apart(x))
+
+
 _NUMBER = r"([0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)"
 
 

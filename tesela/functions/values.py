@@ -27,6 +27,13 @@ def varchar(c: Column, width: int) -> Column:
     return F.coalesce(strip(F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, width).cast("string"))), F.lit(""))
 
 
+def key_prefix(c: Column, bits: int) -> Column:
+    """The first ``bits`` bits (at most 60) of a key's md5, as text of 0 and 1: the bucket of a key in a table of that depth."""
+    digits = -(-bits // 4)
+    binary = F.conv(F.substring(F.md5(c.cast("string")), 1, digits), 16, 2)
+    return F.substring(F.lpad(binary, 4 * digits, "0"), 1, bits)
+
+
 def date_text(c: Column) -> Column:
     """The first 10 characters; dates are kept as text and compare as text."""
     return F.coalesce(F.substring(c.cast("string"), 1, 10), F.lit(""))

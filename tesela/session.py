@@ -15,7 +15,7 @@ from tesela.plans import analyzer
 from tesela.plans.ast import Between, ColumnDef, CreateFromFile, CreateTable, Delete, EngineError, Equal, IndexSpec, Insert, Literal, Nearest, Select, Statement, Within
 from tesela.plans.parser import parse
 from tesela.sources import csv_source
-from tesela.sources.storage import SEQ, State, Storage
+from tesela.sources.storage import HIDDEN, LAT, LON, SEQ, State, Storage
 
 
 @dataclass
@@ -54,7 +54,15 @@ class Engine:
         self.storage = Storage(spark, warehouse, compact_after)
         self.views: dict[str, tuple[DataFrame, str, str | None, str | None]] = {}
         for name in self.storage.names():
-            self.storage.scan(name).drop(SEQ).createOrReplaceTempView(name)
+            self._refresh(name)
+
+    def _refresh(self, name: str) -> None:
+        """Show the current state of a table under its name in Spark SQL."""
+        self.scan(name).createOrReplaceTempView(name)
+
+    def scan(self, name: str, include_deleted: bool = False, include_deleted_flag: bool = False) -> DataFrame:
+        """The rows of a stored table; deleted ones too on demand, as long as their file is not rewritten, with a column that tells them."""
+        return self.storage.scan(name, include_deleted, include_deleted_flag).drop(*HIDDEN)
 
     def register(self, name: str, df: DataFrame, key: str, lon: str | None = None, lat: str | None = None) -> None:
         """Make a DataFrame readable as a table."""
@@ -71,9 +79,14 @@ class Engine:
 
     def execute(self, s: Statement) -> Result:
         run = {CreateTable: self._create, CreateFromFile: self._load, Select: self._select, Insert: self._insert, Delete: self._delete}
-        return run[type(s)](s)
+        result = run[type(s)](s)
+        if not isinstance(s, Select):
+            self._refresh(s.table)
+        return result
 
     def _create(self, s: CreateTable) -> Result:
+        if self.storage.exists(s.table):
+            raise EngineError(400, f"table {s.table} exists")
         with self.storage.lock(s.table):
             self.storage.create(State(s.table, s.columns, IndexSpec("none")))
         return Result(200, f"table {s.table} created")
@@ -83,7 +96,7 @@ class Engine:
             raise EngineError(400, f"table {s.table} exists")
         raw = csv_source.read_csv(self.spark, s.path)
         if s.index.kind == "rtree" and not set(s.index.columns) <= set(raw.columns):
-            raw = csv_source.aliased(raw)
+            raw = csv_source.places(raw)
         columns = csv_source.infer(raw)
         missing = [c for c in s.index.columns if c not in raw.columns]
         if missing:
@@ -117,14 +130,16 @@ class Engine:
     def _select(self, s: Select) -> Result:
         df, key, lon, lat = self._table(s.table)
         w, spatial = s.where, lon is not None
-        out = [c for c in df.columns if c != SEQ]
+        out = [c for c in df.columns if c not in HIDDEN]
         if isinstance(w, Within | Nearest):
             if not spatial:
                 raise EngineError(400, f"table {s.table} has no places")
             if isinstance(w, Nearest) and w.k < 0:
                 raise EngineError(400, "k is negative")
-            d = self._keyed(df, True).withColumn("__lon", F.coalesce(F.col(lon).try_cast("double"), F.lit(0.0))).withColumn("__lat", F.coalesce(F.col(lat).try_cast("double"), F.lit(0.0)))
-            found = radius(d, "__lon", "__lat", w.center.x, w.center.y, w.radius, ["__key", SEQ], self.range_mode) if isinstance(w, Within) else nearest(d, "__lon", "__lat", w.center.x, w.center.y, w.k, ["__key", SEQ])
+            d = self._keyed(df, True)
+            if LON not in d.columns:  # a registered DataFrame; stored tables have their coordinates as numbers, which the scan can filter
+                d = d.withColumn(LON, F.coalesce(F.col(lon).try_cast("double"), F.lit(0.0))).withColumn(LAT, F.coalesce(F.col(lat).try_cast("double"), F.lit(0.0)))
+            found = radius(d, LON, LAT, w.center.x, w.center.y, w.radius, ["__key", SEQ], self.range_mode) if isinstance(w, Within) else nearest(d, LON, LAT, w.center.x, w.center.y, w.k, ["__key", SEQ])
             return Result(200, df=found.select(*out))
         if isinstance(w, Equal):
             if w.column in ("id", "key") and w.column not in df.columns:
@@ -185,23 +200,29 @@ class Engine:
     def count(self, table: str) -> int:
         return self._table(table)[0].count()
 
-    def bulk_append(self, table: str, rows: DataFrame) -> int:
-        """Add many places at once; those with invalid coordinates are skipped, keys may repeat. Returns the number added."""
-        with self.storage.lock(table):
+    def compact(self, table: str) -> None:
+        """Rewrite a table in the order of its layout, without deleted rows."""
+        with self.storage.lock(table) if self.storage.exists(table) else _missing(table):
+            self.storage.compact(table)
+        self._refresh(table)
+
+    def bulk_append(self, table: str, rows: DataFrame, stream: str = "", batch: int = -1) -> int:
+        """Add many places at once; those with invalid coordinates are skipped, keys may repeat. Returns the number added.
+
+        A ``batch`` of a ``stream`` that is not after the last one was added before, and is skipped.
+        """
+        with self.storage.lock(table) if self.storage.exists(table) else _missing(table):
             state = self.storage.state(table)
+            if stream and batch <= state.batches.get(stream, -1):
+                return 0
             good = rows.select(*[F.col(f"`{c.name}`").cast(csv_source.field(c).dataType).alias(c.name) for c in state.columns])
             if state.spatial:
                 good = good.filter(valid_point(F.col(state.lat).try_cast("double"), F.col(state.lon).try_cast("double")))
             # numbers are unique and above all earlier ones; gaps do not matter
             good = good.withColumn(SEQ, F.lit(state.next_seq) + F.monotonically_increasing_id())
-            before = self.storage.scan(table).count()
-            self.storage.append(state, good, 0)
-            top = self.storage.scan(table).agg(F.max(SEQ)).first()[0]
-            after = self.storage.state(table)
-            from dataclasses import replace
-
-            self.storage.swap(replace(after, next_seq=(top if top is not None else -1) + 1))
-            return self.storage.scan(table).count() - before
+            _, n = self.storage.append(state, good, stream=stream, batch=batch)
+        self._refresh(table)
+        return n
 
 
 class _missing:

@@ -63,11 +63,18 @@ def load(df: DataFrame, columns: tuple[ColumnDef, ...], profile: str | None = No
     return df.select(*[typed(F.col(f"`{c.name}`"), c, widths.get(c.name)).alias(c.name, metadata=field(c).metadata) for c in columns])
 
 
-def aliased(df: DataFrame) -> DataFrame:
-    """A cities file with its headers renamed to name, latitude and longitude; other columns stay."""
+def places(df: DataFrame) -> DataFrame:
+    """A cities file with its headers renamed to name, latitude and longitude; other columns stay.
+
+    A name or country that the file lacks is ``Unknown``, a population that it lacks or leaves empty is 0.
+    """
     have = {c.lower(): c for c in df.columns}
     for to, names in ALIASES.items():
         found = [have[n] for n in names if n in have]
         if found and to not in have:
             df = df.withColumnRenamed(found[0], to)
-    return df
+    for c in ("name", "country"):
+        if c not in map(str.lower, df.columns):
+            df = df.withColumn(c, F.lit("Unknown"))
+    population = F.col(have["population"]) if "population" in have else F.lit("")
+    return df.withColumn(have.get("population", "population"), F.when(strip(population) == "", "0").otherwise(population))

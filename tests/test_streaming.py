@@ -13,4 +13,6 @@ def test_stream_and_bulk_append(spark, tmp_path):
     q = stream_into(engine, "C", spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert engine.count("C") == 3
-    assert engine.sql("INSERT INTO C VALUES (es, z, 5, 5)").status == 200 and engine.count("C") == 4
+    assert engine.bulk_append("C", more, stream=str(tmp_path / "ck"), batch=0) == 0 and engine.count("C") == 3  # a batch that runs again
+    assert engine.bulk_append("C", more, stream=str(tmp_path / "ck"), batch=1) == 1 and engine.count("C") == 4
+    assert engine.sql("INSERT INTO C VALUES (es, z, 5, 5)").status == 200 and engine.count("C") == 5
