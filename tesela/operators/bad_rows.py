@@ -91,9 +91,12 @@ def _errors(parsed: DataFrame, key: str, fields: tuple[str, ...], rules: tuple[R
     # the structure is the last cell of a row, under the column "*"; cells of a broken record are not judged further
     cells = F.when(F.col("__state") == "ok", F.concat("__cells", F.array("__state"))).otherwise(F.concat(F.array_repeat(F.lit(None).cast("string"), len(fields)), F.array("__state")))
     exploded = parsed.select(F.col(key).alias("__key"), "__row", "__state", F.explode(F.arrays_zip(names.alias("column"), cells.alias("value"))).alias("cell")).select("__key", "__row", "__state", "cell.column", "cell.value")
-    # the rule table is a fixed literal of a few rows
-    table = F.broadcast(parsed.sparkSession.createDataFrame([(r.column, r.pattern, r.expect, r.reason) for r in rules], "column string, pattern string, expect boolean, reason string"))
-    broken = exploded.filter(F.col("value").isNotNull()).join(table, "column").filter(F.expr("value rlike pattern") != F.col("expect"))
+    # the rule table is a fixed literal of a few rows; the patterns are constants, so that each is compiled once
+    table = F.broadcast(parsed.sparkSession.createDataFrame([(i, r.column, r.reason) for i, r in enumerate(rules)], "rule int, column string, reason string"))
+    keeps = F.lit(None).cast("boolean")
+    for i, r in enumerate(rules):
+        keeps = F.when(F.col("rule") == i, F.col("value").rlike(r.pattern) == F.lit(r.expect)).otherwise(keeps)
+    broken = exploded.filter(F.col("value").isNotNull()).join(table, "column").filter(~keeps)
     reason = F.when(F.col("column") == "*", F.col("__state")).otherwise(F.col("reason"))
     return broken.groupBy("__key", "__row").agg(F.array_sort(F.collect_set(reason)).alias("reasons"))
 

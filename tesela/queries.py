@@ -53,6 +53,22 @@ def _degrees(column: str, letters: str, negative: str, limit: int) -> str:
     return f"CASE WHEN {good} THEN {bare} * {sign} END"
 
 
+# A record as SQL reads it: the whole fields at its start, each with its comma, and what is left.
+_RECORDS = f"""
+WITH u AS (SELECT *, regexp_full_match(coalesce(raw_line, ''), '{_FIELD}(,{_FIELD})*', 's') AND raw_line IS NOT NULL AS shaped, regexp_extract(raw_line, '^(?:{_FIELD},)*') AS start FROM lineas_crudas),
+ w AS (SELECT *, shaped AND len(regexp_extract_all(start, '{_FIELD},')) = 5 AS good, substr(raw_line, length(start) + 1) AS rest FROM u)"""
+_STRUCTURE = r"""CASE WHEN raw_line IS NULL THEN 'null record' WHEN shaped AND NOT good THEN 'column count' WHEN shaped THEN NULL
+ WHEN rest LIKE '"%' THEN CASE WHEN regexp_matches(rest, '^"[^"]*(?:""[^"]*)*"') THEN 'text after closing quote' ELSE 'quote not closed' END
+ WHEN regexp_matches(rest, '^[^,"\r\n]*"') THEN 'quote in unquoted field' ELSE 'line break in unquoted field' END"""
+
+
+def _cell(i: int) -> str:
+    text = f"regexp_extract(raw_line, '^(?:{_FIELD},){{{i}}}({_FIELD})', 1)"
+    return f"""CASE WHEN {text} LIKE '"%' THEN replace({text}[2:-2], '""', '"') ELSE {text} END"""
+
+
+_PRICED = f"regexp_full_match({_cell(3)}, '\\s*({bad_rows.AMOUNT}(\\s*-\\s*{bad_rows.AMOUNT})?)?\\s*')"
+
 QUERIES = {**table_queries.QUERIES, **{f.__name__: f for f in (p1_found, p4_found, p4_reasons, p4_clean, p6_found)}}
 ORACLES: dict[str, str] = {
     **table_queries.ORACLES,
@@ -62,6 +78,14 @@ WITH r AS (SELECT line_id, raw_line, regexp_full_match(coalesce(raw_line, ''), '
 SELECT DISTINCT line_id FROM r WHERE NOT coalesce(shaped
  AND regexp_full_match(CASE WHEN price LIKE '"%' THEN replace(price[2:-2], '""', '"') ELSE price END, '\\s*({bad_rows.AMOUNT}(\\s*-\\s*{bad_rows.AMOUNT})?)?\\s*')
  AND NOT regexp_matches(description, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]'), false)""",
+    "p4_reasons": f"""
+{_RECORDS} SELECT DISTINCT line_id, concat_ws('; ', {_STRUCTURE},
+ CASE WHEN good AND regexp_matches({_cell(5)}, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'invalid characters in description' END,
+ CASE WHEN good AND NOT {_PRICED} THEN 'invalid price' END) AS reasons, raw_line AS r FROM w) SELECT line_id, reasons FROM v WHERE reasons <> ''""".replace("SELECT DISTINCT", ", v AS (SELECT DISTINCT", 1),
+    "p4_clean": f"""
+{_RECORDS} SELECT * EXCLUDE (raw_line, shaped, good, start, rest), {", ".join(f"{_cell(i)} AS {f}" for i, f in enumerate(bad_rows.PRODUCT_FIELDS) if f != "price")}, {_cell(3)} AS price_text,
+ try_cast(regexp_replace(regexp_extract({_cell(3)}, '{bad_rows.AMOUNT}'), '[$,]', '', 'g') AS DOUBLE) AS price FROM w
+ WHERE good AND {_PRICED} AND NOT regexp_matches({_cell(5)}, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')""",
     "p6_found": f"""
 WITH c AS (SELECT geo_id, {_degrees("latitude", "NS", "S", 90)} AS lat, {_degrees("longitude", "EWO", "WO", 180)} AS lon, loaded_at FROM ciudades WHERE geo_id IS NOT NULL),
  p AS (SELECT geo_id, arg_max(lat, loaded_at) AS lat, arg_max(lon, loaded_at) AS lon FROM c WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) GROUP BY geo_id)

@@ -15,7 +15,7 @@ def test_queries_equal_sql(spark):
         con.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
     sql, queries = entry.oracle_sql(), entry.queries()
     assert set(sql) <= set(queries)
-    for name in ("eq_text", "between_float32", "spatial_range", "spatial_knn", "price_clean_online", "p4_found", "p6_found"):
+    for name in ("eq_text", "between_float32", "spatial_range", "spatial_knn", "price_clean_online", "scan_live", "insert_visible", "delete_missing", "compact_sorted", "catalog_restart", "stored_range", "scan_with_deleted", "export_sinks", "varchar_truncate", "infer_schema", "p4_found", "p4_reasons", "p4_clean", "p6_found"):
         df = queries[name](spark, DATA)
         cols = sorted(df.columns)
         want = con.sql(f"SELECT {', '.join(cols)} FROM ({sql[name]})").fetchall()
