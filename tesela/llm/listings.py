@@ -1,47 +1,23 @@
 """Titles and descriptions of product listings, read into comparable tokens.
 
-A token says the same thing whatever the language, unit, case, order or spelling of marks: a model code, a word that may name a
-model, a size in a base unit, a colour or variety.
+A token says the same thing whatever the unit, case, order or spelling of marks: a model code, a word or words that may name a
+model or a variety, a size in a base unit. Which words are names is not known here: descriptions state attributes under their
+names (``Modelo: ...``, ``colour ...``), and what stands there anywhere in the table is looked up elsewhere
+(:mod:`tesela.llm.same_product`).
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from typing import NamedTuple
 
-# Colours and varieties in Spanish, Portuguese and English, without accents; a line holds one meaning.
-MEANINGS = """
-black negro negra preto preta
-white blanco blanca branco branca
-red rojo roja vermelho vermelha
-blue azul
-green verde
-yellow amarillo amarilla amarelo amarela
-orange naranja laranja
-pink rosado rosada rosa
-purple violeta morado roxo roxa
-grey gray gris cinza
-silver plateado plateada prateado prateada
-brown marron marrom
-gold dorado dourado golden
-beige crema creme
-honey miel mel
-lemon limon limao
-vanilla vainilla baunilha
-cinnamon canela
-coconut coco
-mint menta hortela
-apple manzana maca
-peach durazno pessego
-lavender lavanda
-mild suave
-strong intenso forte
-unscented sinaroma semaroma
-strawberry fresa morango
-chocolate
-caramel caramelo
-"""
-MEANING = {w: line.split()[0] for line in MEANINGS.strip().splitlines() for w in line.split()}
+import xxhash
+
+# The names of attributes in Spanish, Portuguese and English, without accents.
+MODEL_NAMES = "modelo model"
+VARIETY_NAMES = "color colour cor variedad variedade variety"
+SIZE_NAMES = "medida tamanho size"
 
 # Units and their factor to the base unit of their kind.
 UNITS = {
@@ -60,32 +36,57 @@ UNITS = {
     **dict.fromkeys(("pzas", "pza", "pcs", "unidades", "un", "count", "und", "uds", "ct"), ("n", 1.0)),
 }
 _UNIT = "|".join(sorted(map(re.escape, UNITS), key=len, reverse=True))
-_NUMBER = re.compile(rf"(\d+(?:[.,]\d+)?)(?:\s?({_UNIT})(?![a-z0-9]))?")
-_COUNTED = re.compile(r"(?:\b(?:set|pack|pacote|caja|caixa|box) (?:of|de|com|con) |(?<![a-z0-9])x)$")
-# What is said of spare parts, service and other lines is no attribute of the item.
-_ASIDE = re.compile(r"(?:accesorios de la linea|acessorios da linha|accessories of the|strong smells|cable de red\b)(?: \w+)?|(?:contenido|contents|conteudo): \w+ u\b")
-_ASIDE_SIGNS = ("linea ", "linha ", "accessories of", "conten", "conteudo", "strong smells", "cable de red")
-_HEAD = re.compile(r"(?<![a-z0-9])([a-z]{3})[ ./-]?$")
-_DIGITS_ON = re.compile(r"(?:[0-9oil]{2}[ .-][0-9oil]{2}(?![a-z0-9])|[0-9oil]{2}[ .-][0-9oil]{2}(?=[ -]?[bx](?![a-z0-9]))|[0-9oil]{1,4})(?:[ -]?[bx])?(?![a-z0-9])")
-#: Digits all read as letters, after a mark that only codes have.
-_MISREAD = re.compile(r"[./-][oil]{4}(?:[ -]?[bx])?(?![a-z0-9])")
-#: Frequent short words: before few digits they begin no code.
-_NO_PREFIX = frozenset("con com and los las the ref mod set uso for por box pcs sin sem que".split())
+_MEASURE = re.compile(rf"(?<![a-z0-9.,/-])(\d+(?:[.,]\d+)?)\s?({_UNIT})(?![a-z0-9])|(?:\b(?:set|pack|pacote|caja|caixa|box) (?:of|de|com|con) |(?<![a-z0-9])x)(\d+)(?![a-z0-9.,])")
+#: A code: letters, a mark or blank, digits (some misread as letters, some parted by a mark), a short ending (apart from it one consonant, as a vowel is a word).
+_CODE = re.compile(r"(?<![a-z0-9])([a-z]{2,6})([ ./-]?)((?=[oil]?[oil]?[0-9])[0-9oil]{1,5}(?:[ .-][0-9oil]{2,4}(?=(?:-?[a-z]{1,2}[0-9]?| [b-df-hj-np-tv-xz])?(?![a-z0-9])))?)(?:(-?)([a-z]{1,2}[0-9]?)|( )([b-df-hj-np-tv-xz]))?(?![a-z0-9])")
 _DIGITS = str.maketrans("oil", "011", " .-")
-_SUFFIX = r"(?:\+|[ -](?:ii|iii|plus|mini|max|pro|lite)\b)?"
-_WORD = re.compile(rf"[a-z]{{3,}}(?:-[a-z]+)?{_SUFFIX}")
-_NAME = re.compile(r"([A-ZÀ-Þ][A-Za-zß-ÿÀ-Þ̀-ͯ]{2,}(?:-[A-Za-zß-ÿ]+)?)(\+| (?:II|III|[A-ZÀ-Þ][A-Za-zß-ÿ̀-ͯ]{2,})(?![A-Za-zß-ÿ]))?")
+_WORD = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*\+?")
+_SAME = {"ii": "2", "iii": "3"}
 _FOLD = {ord(c): unicodedata.normalize("NFD", c)[0] for c in "áéíóúàèìòùâêîôûãõäëïöüñçý"}
+_LATIN = bytes(ord(_FOLD.get(b, chr(b))) for b in range(256))
 _MARKS = re.compile("[̀-ͯ]")
 
 
+_KIND = {n: k for k, names in (("m", MODEL_NAMES), ("v", VARIETY_NAMES), ("s", SIZE_NAMES)) for n in names.split()}
+_UNDER = {n: i for i, n in enumerate(VARIETY_NAMES.split())}
+#: The name of an attribute and what follows up to a mark; a stated value has some words, not more than 80 characters.
+_STATED = re.compile(rf"\b({'|'.join(_KIND)})\b:?\s+(?=([^,;:\n()|]{{1,80}}))")
+_END = re.compile(r"\.(?:\s|$)| - ")
+
+
+class Tokens(NamedTuple):
+    """What a listing says, names by their hashes. ``codes``, ``models``, ``varieties`` and ``sizes`` are stated, varieties ``under`` a name of the attribute; ``grams`` are one or two words
+    of the title, then codes whose letters and digits stand apart, then, where a kind is not stated, the same of the description; a listing
+    with a code and a stated variety needs none. ``at`` tells for each its place times four and its length."""
+
+    codes: list[int]
+    models: list[int]
+    varieties: list[int]
+    under: list[int]
+    sizes: list[str]
+    grams: list[int]
+    at: list[int]
+
+
+#: Places by which a token of the description stands behind those of the title.
+BEHIND = 1000
+
+
+def hashed(name: str) -> int:
+    """60 bits."""
+    return xxhash.xxh64_intdigest(name) >> 4
+
+
 def folded(text: str) -> str:
+    """In lower case, without accents."""
     t = text.lower()
-    if not t.isascii():
+    if t.isascii():
+        return t
+    try:
+        return t.encode("latin-1").translate(_LATIN).decode("latin-1")
+    except UnicodeEncodeError:
         t = t.translate(_FOLD)
-        if not t.isascii() and _MARKS.search(t):
-            t = _MARKS.sub("", t)
-    return t.replace("sin aroma", "sinaroma").replace("sem aroma", "semaroma")
+        return _MARKS.sub("", t) if _MARKS.search(t) else t
 
 
 def measure(number: str, unit: str) -> str:
@@ -95,63 +96,90 @@ def measure(number: str, unit: str) -> str:
     return f"{kind}{round(value / 5) * 5 if kind == 'd' and value >= 100 else round(value, 3):g}"
 
 
-def _code(head: str, t: str, at: int) -> str | None:
-    m = _DIGITS_ON.match(t, at)
-    if not m:
-        return None
-    got = m.group()
-    tail = got[-1] if got[-1] in "bx" else ""
-    digits = (got[:-1] if tail else got).translate(_DIGITS)
-    return None if head in _NO_PREFIX and len(digits) < 3 else head + digits + tail
-
-
-def attributes(text: str | None) -> tuple[list[str], list[str], list[str], list[str]]:
-    """(codes, sizes, colours, words) of a text, each in the order of appearance."""
-    if not text:
-        return [], [], [], []
-    t = folded(text)
-    if any(s in t for s in _ASIDE_SIGNS):
-        t = _ASIDE.sub(" ", t)
-    sizes, codes, end = [], [], 0
-    for m in _NUMBER.finditer(t):
-        at = m.start()
-        if at < end:
-            continue
-        before = t[max(0, at - 14) : at]
-        if _COUNTED.search(before):
-            sizes.append(f"n{m.group(1).split('.')[0].split(',')[0]}")
-            continue
-        head = _HEAD.search(before)
-        code = head and _code(head.group(1), t, at)
-        if code and not (m.group(2) and head.group(1) in _NO_PREFIX):
-            # a number after three letters may be a size all the same ("new 2 l"): a size needs a unit after the whole number
-            if m.group(2) and before.endswith(" "):
-                sizes.append(measure(m.group(1), m.group(2)))
-            if not (m.group(2) and before.endswith(" ")):
-                codes.append(code)
-                end = _DIGITS_ON.match(t, at).end()
+def sizes(t: str) -> tuple[list[str], str]:
+    """The sizes of a folded text, and the text without them."""
+    out: list[str] = []
+
+    def take(m: re.Match[str]) -> str:
+        out.append(measure(m.group(1), m.group(2)) if m.group(1) else f"n{int(m.group(3)):d}")
+        return " | "
+
+    rest = _MEASURE.sub(take, t)
+    return out, rest
+
+
+def codes(t: str) -> tuple[list[str], list[str]]:
+    """(codes written in one, codes whose letters and digits a blank parts) of a folded text."""
+    one, loose = [], []
+    for m in _CODE.finditer(t):
+        head, mark, digits, _, end, space, apart = m.groups()
+        end = end or apart
+        digits = digits.translate(_DIGITS)
+        if len(digits) < 2:
             continue
-        if m.group(2) and not (before and (before[-1].isalnum() or before[-1] in ".,/")):
-            sizes.append(measure(m.group(1), m.group(2)))
-    for m in _MISREAD.finditer(t):
-        head = _HEAD.search(t[max(0, m.start() - 5) : m.start() + 1])
-        code = head and _code(head.group(1), t, m.start() + 1)
-        if code:
-            codes.append(code)
-    found = _WORD.findall(t)
-    return codes, sizes, [MEANING[w] for w in found if w in MEANING], found
-
-
-def names(text: str | None) -> list[str]:
-    """Capitalised words of a description, which may name its model; two in a row also as one, as names come split or joined."""
-    out = []
-    for word, more in _NAME.findall(text or ""):
-        out.append(joined(word))
-        if more:
-            out.append(joined(word + more))
-    return out
-
-
-def joined(word: str) -> str:
+        # an ending apart that is a unit belongs to a size
+        code = head + digits + (end if end and not (end in UNITS and (space or mark == " ")) else "")
+        (loose if mark == " " else one).append(code)
+    return one, loose
+
+
+def joined(words: list[str]) -> str:
     """A name without the marks by which its spellings differ."""
-    return folded(word).replace("-", "").replace(" ", "")
+    last = words[-1]
+    if last.endswith("+"):
+        last = f"{last[:-1]}plus"
+    elif len(words) > 1:
+        last = _SAME.get(last, last)
+    return "".join([*words[:-1], last])
+
+
+def _words(t: str) -> list[str]:
+    return [joined(w.split("-")) if "-" in w or w[-1] == "+" else w for w in _WORD.findall(t)]
+
+
+def name(value: str) -> str | None:
+    """A stated name of at most four words."""
+    words = _words(value)
+    return joined(words) if 0 < len(words) <= 4 and len("".join(words)) > 2 else None
+
+
+def _grams(t: str, loose: list[str], first: int) -> list[tuple[str, int]]:
+    words, out = _words(t), []
+    for at, (w, after) in enumerate(zip(words, [*words[1:], ""]), first):
+        if w[0] > "9":
+            if len(w) > 2:
+                out.append((w, 4 * at + 1))
+            if after:
+                out.append((w + _SAME.get(after, after), 4 * at + 2))
+    return out + [(c, 4 * (first + len(words) + i) + 3) for i, c in enumerate(loose)]
+
+
+def read(title: str | None, description: str | None) -> Tokens:
+    """What a title and a description say, each kind in the order of appearance and without repeats."""
+    t, d = folded(title or ""), folded(description or "")
+    found, rest = sizes(t)
+    models, varieties, stated, (one, loose) = [], {}, [], codes(rest)
+    for m in _STATED.finditer(d):
+        kind, value = _KIND[m.group(1)], _END.split(m.group(2), 1)[0]
+        if kind == "s":
+            stated += sizes(value)[0][:1]
+        elif kind == "v":
+            if (got := name(sizes(value)[1])) is not None:
+                varieties.setdefault(got, _UNDER[m.group(1)])
+        elif any(c := codes(value.strip())):
+            one = one + [*c[0], *c[1]][:1]
+        else:
+            models.append(name(sizes(value)[1]))
+    found = found + stated or sizes(d)[0]
+    models = [n for n in models if n]
+    grams = [] if one and varieties else _grams(rest, loose, 0)
+    if not varieties or not (one or models):
+        body = sizes(d)[1]
+        in_one, in_loose = codes(body)
+        grams = [] if one + in_one and varieties else grams + _grams(body, in_loose, BEHIND)
+        one = one + in_one
+    places: dict[str, int] = {}
+    for g, at in grams:
+        places.setdefault(g, at)
+    keep = lambda x: [hashed(n) for n in dict.fromkeys(x)]
+    return Tokens(keep(one), keep(models), keep(varieties), list(varieties.values()), list(dict.fromkeys(found)), [hashed(g) for g in places], list(places.values()))
