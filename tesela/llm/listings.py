@@ -36,9 +36,12 @@ UNITS = {
     **dict.fromkeys(("pzas", "pza", "pcs", "unidades", "un", "count", "und", "uds", "ct"), ("n", 1.0)),
 }
 _UNIT = "|".join(sorted(map(re.escape, UNITS), key=len, reverse=True))
-_MEASURE = re.compile(rf"(?<![a-z0-9.,/-])(\d+(?:[.,]\d+)?)\s?({_UNIT})(?![a-z0-9])|(?:\b(?:set|pack|pacote|caja|caixa|box) (?:of|de|com|con) |(?<![a-z0-9])x)(\d+)(?![a-z0-9.,])")
+# Numbers are looked for first, as texts hold few; what stands before them is looked at then.
+_NUMBER = re.compile(rf"(\d+(?:[.,]\d+)?)(?:\s?({_UNIT})(?![a-z0-9]))?")
+_COUNTED = re.compile(r"(?:\b(?:set|pack|pacote|caja|caixa|box) (?:of|de|com|con) |(?<![a-z0-9])x)$")
 #: A code: letters, a mark or blank, digits (some misread as letters, some parted by a mark), a short ending (apart from it one consonant, as a vowel is a word).
-_CODE = re.compile(r"(?<![a-z0-9])([a-z]{2,6})([ ./-]?)((?=[oil]?[oil]?[0-9])[0-9oil]{1,5}(?:[ .-][0-9oil]{2,4}(?=(?:-?[a-z]{1,2}[0-9]?| [b-df-hj-np-tv-xz])?(?![a-z0-9])))?)(?:(-?)([a-z]{1,2}[0-9]?)|( )([b-df-hj-np-tv-xz]))?(?![a-z0-9])")
+_HEAD = re.compile(r"(?<![a-z0-9])([a-z]{2,6})([ ./-]?)([oil]{0,2})$")
+_TAIL = re.compile(r"([0-9][0-9oil]{0,4}(?:[ .-][0-9oil]{2,4}(?=(?:-?[a-z]{1,2}[0-9]?| [b-df-hj-np-tv-xz])?(?![a-z0-9])))?)(?:(-?)([a-z]{1,2}[0-9]?)|( )([b-df-hj-np-tv-xz]))?(?![a-z0-9])")
 _DIGITS = str.maketrans("oil", "011", " .-")
 _WORD = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*\+?")
 _SAME = {"ii": "2", "iii": "3"}
@@ -51,6 +54,7 @@ _KIND = {n: k for k, names in (("m", MODEL_NAMES), ("v", VARIETY_NAMES), ("s", S
 _UNDER = {n: i for i, n in enumerate(VARIETY_NAMES.split())}
 #: The name of an attribute and what follows up to a mark; a stated value has some words, not more than 80 characters.
 _STATED = re.compile(rf"\b({'|'.join(_KIND)})\b:?\s+(?=([^,;:\n()|]{{1,80}}))")
+_DIGIT = re.compile(r"[0-9]")
 _END = re.compile(r"\.(?:\s|$)| - ")
 
 
@@ -101,18 +105,33 @@ def sizes(t: str) -> tuple[list[str], str]:
     out: list[str] = []
 
     def take(m: re.Match[str]) -> str:
-        out.append(measure(m.group(1), m.group(2)) if m.group(1) else f"n{int(m.group(3)):d}")
-        return " | "
-
-    rest = _MEASURE.sub(take, t)
+        at = m.start()
+        before = t[at - 1] if at else " "
+        if m.group(2) and not ("a" <= before <= "z" or "0" <= before <= "9" or before in ".,/-"):
+            out.append(measure(m.group(1), m.group(2)))
+            return " | "
+        after = t[m.end(1) : m.end(1) + 1]
+        if before in " x" and not ("a" <= after <= "z") and m.group(1).isdigit() and _COUNTED.search(t[max(0, at - 12) : at]):
+            out.append(f"n{int(m.group(1)):d}")
+            return " | " + m.group()[len(m.group(1)) :]
+        return m.group()
+
+    rest = _NUMBER.sub(take, t)
     return out, rest
 
 
 def codes(t: str) -> tuple[list[str], list[str]]:
     """(codes written in one, codes whose letters and digits a blank parts) of a folded text."""
-    one, loose = [], []
-    for m in _CODE.finditer(t):
-        head, mark, digits, _, end, space, apart = m.groups()
+    one, loose, end_of_last = [], [], 0
+    for m in _TAIL.finditer(t):
+        if m.start() < end_of_last:
+            continue
+        head_ = _HEAD.search(t[max(0, m.start() - 10) : m.start()])
+        if head_ is None:
+            continue
+        end_of_last = m.end()
+        (head, mark, misread), (digits, _, end, space, apart) = head_.groups(), m.groups()
+        digits = misread + digits
         end = end or apart
         digits = digits.translate(_DIGITS)
         if len(digits) < 2:
@@ -164,9 +183,9 @@ def read(title: str | None, description: str | None) -> Tokens:
         if kind == "s":
             stated += sizes(value)[0][:1]
         elif kind == "v":
-            if (got := name(sizes(value)[1])) is not None:
+            if (got := name(value)) is not None:
                 varieties.setdefault(got, _UNDER[m.group(1)])
-        elif any(c := codes(value.strip())):
+        elif _DIGIT.search(value) and any(c := codes(value.strip())):
             one = one + [*c[0], *c[1]][:1]
         else:
             models.append(name(sizes(value)[1]))

@@ -37,7 +37,7 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return same_product.pairs(same_product.groups(table(spark, d, "productos")))
+    return same_product.pairs(same_product.placed(table(spark, d, "productos")))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:

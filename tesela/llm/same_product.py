@@ -29,10 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesela.llm import listings
 from tesela.llm.listings import BEHIND, Tokens, read
 from tesela.runtime import broadcast_if_small, cut, lookup
 
-#: Share of the titles with a word in which it must be stated as a name, to be one; share of a stated variety's listings whose titles must hold it.
+#: Share of the listings with a word in which it must be stated as a model, to name one; share of a stated variety's listings whose titles must hold it.
 NAME_SHARE, TITLE_SHARE = 0.1, 0.2
 #: A word that is stated nowhere may name a model if it stands in so many listings, of which at most this share names another model.
 UNSTATED_LEAST, NAMED_SHARE = 2, 0.1
@@ -63,24 +64,25 @@ def _longs(values: list[int]) -> Column:
 
 def varieties(said: DataFrame) -> dict[int, int]:
     """Every name of a variety that is looked for, and the name that stands for it and its translations; at most 1 / VARIETY_SHARE names."""
-    titled = said.filter(F.size("grams") > 0)
-    stated = titled.select(F.explode("varieties").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    # listings that state model and variety have words of the title only
+    titled = said.filter((F.size("models") > 0) & (F.size("varieties") > 0) & (F.size("grams") > 0))
+    stated = titled.select("grams", F.posexplode("varieties").alias("k", "gram"), "under").select("gram", F.get("under", F.col("k")).alias("under"), F.array_contains("grams", F.col("gram")).cast("int").alias("held"))
+    stated = cut(stated.groupBy("gram", "under").agg(F.count("*").alias("n"), F.sum("held").alias("held")))
     total = stated.agg(F.sum("n")).first()[0] or 0
-    counts = {r["gram"]: r["n"] for r in stated.filter((F.col("n") >= VARIETY_LEAST) & (F.col("n") >= VARIETY_SHARE * total)).collect()}
-    if not counts:
-        return {}
-    titles = {r["gram"]: r["n"] for r in titled.select(F.explode(F.array_intersect(F.slice("grams", 1, F.size(F.filter("at", lambda a: a < 4 * BEHIND))), _longs(list(counts)))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}
-    counts = {g: n for g, n in counts.items() if titles.get(g, 0) >= TITLE_SHARE * n and n >= NAME_SHARE * titles[g]}
+    least, ways = max(VARIETY_LEAST, VARIETY_SHARE * total), len(listings.VARIETY_NAMES.split())
+    counts, under, held = {}, {}, {}
+    for r in sorted(stated.filter(F.col("n") >= least / ways).collect(), key=lambda r: r["n"]):  # at most ways / VARIETY_SHARE
+        counts[r["gram"]], held[r["gram"]] = counts.get(r["gram"], 0) + r["n"], held.get(r["gram"], 0) + r["held"]
+        under[r["gram"]] = r["under"]
+    counts = {g: n for g, n in counts.items() if n >= least and held[g] >= TITLE_SHARE * n}
     if not counts:
         return {}
     place = F.xxhash64(F.get(F.concat("codes", "models"), 0), F.get("sizes", 0)).alias("place")
     # each name once for a model and size: no more rows than names looked for, however many listings there are
     once = said.filter((F.size("sizes") > 0) & (F.size("codes") + F.size("models") > 0)).select(place, F.explode(F.array_intersect("varieties", _longs(list(counts)))).alias("a")).distinct()
-    once = cut(once)
-    alone = {r["a"]: r["n"] for r in once.groupBy("a").agg(F.count("*").alias("n")).collect()}
-    both = once.join(once.withColumnRenamed("a", "b"), "place").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= TOGETHER_LEAST).collect()  # pairs of the names looked for
-    under = {r["gram"]: r["under"] for r in titled.select(F.explode(F.arrays_zip("varieties", "under")).alias("v")).groupBy(F.col("v.varieties").alias("gram"), F.col("v.under").alias("under")).agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("under", F.struct("n", "under")).alias("under")).filter(F.array_contains(_longs(list(counts)), F.col("gram"))).collect()}
-    return _translated(counts, {(r["a"], r["b"]): r["n"] / min(alone[r["a"]], alone[r["b"]]) for r in both}, under)
+    both = once.join(once.withColumnRenamed("a", "b"), "place").filter("a <= b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= TOGETHER_LEAST).collect()  # pairs of the names looked for
+    alone = {r["a"]: r["n"] for r in both if r["a"] == r["b"]}
+    return _translated(counts, {(r["a"], r["b"]): r["n"] / min(alone[r["a"]], alone[r["b"]]) for r in both if r["a"] < r["b"]}, under)
 
 
 def _translated(counts: dict[int, int], together: dict[tuple[int, int], float], under: dict[int, int]) -> dict[int, int]:
@@ -127,15 +129,15 @@ def models(said: DataFrame) -> DataFrame:
     # all tokens meet the stated names first, as most tokens are none; what is left is counted and is small
     met = cut(lookup(words, "gram", known, "model", "weight").filter("stated is not null"))
     held = met.groupBy("gram").agg(F.count("*").alias("weight"), F.first("stated").alias("stated"), F.first("code").alias("code"))
-    wrong = cut(held.filter(~F.col("code") & (F.col("stated") < NAME_SHARE * F.col("weight"))).select(F.col("gram").alias("word"), "weight", F.lit(True).alias("wrong")))
-    met = lookup(met, "gram", wrong, "word", "weight").filter("wrong is null").select("id", "gram", "at")
+    wrong = held.filter(~F.col("code") & (F.col("stated") < NAME_SHARE * F.col("weight"))).select("gram")
+    met = met.select("id", "gram", "at").join(wrong, "gram", "left_anti")
     named = cut(_longest(met).unionByName(uncoded.select("id", F.explode("models").alias("model"), F.lit(0).alias("at"))))
     # listings without a known name: words that stand in some listings, but hardly in those that name another model
     rest = cut(words.join(named.select("id").distinct(), "id", "left_anti"))
     asked = cut(rest.groupBy("gram").agg(F.countDistinct("id").alias("free")).filter(F.col("free") >= UNSTATED_LEAST))
     every = uncoded.select(F.explode("grams").alias("gram")).join(broadcast_if_small(asked), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("held"))
-    unstated = cut(asked.join(every, "gram").filter(F.col("held") - F.col("free") <= NAMED_SHARE * F.col("held")).select(F.col("gram").alias("word"), "free", F.lit(True).alias("known")))
-    unnamed = _longest(lookup(rest, "gram", unstated, "word", "free").filter("known").select("id", "gram", "at"))
+    unstated = asked.join(every, "gram").filter(F.col("held") - F.col("free") <= NAMED_SHARE * F.col("held")).select("gram")
+    unnamed = _longest(rest.join(unstated, "gram", "left_semi"))
     coded = said.filter(F.size("codes") > 0).select("id", "sizes", "kinds", F.explode("codes").alias("model"), F.lit(0).alias("at"))
     return coded.unionByName(uncoded.select("id", "sizes", "kinds").join(named.unionByName(unnamed), "id"))
 
@@ -155,8 +157,8 @@ def candidates(said: DataFrame) -> DataFrame:
     return of.groupBy("id", "model", "size", F.col("v.variety").alias("variety")).agg(F.min(at).alias("at"))
 
 
-def groups(df: DataFrame, key: str = "id", name: str = "name", description: str = "description") -> DataFrame:
-    """(id, product): one row for each listing id that is not null; ``product`` is the same for listings of one product."""
+def placed(df: DataFrame, key: str = "id", name: str = "name", description: str = "description") -> DataFrame:
+    """(id, product) of each listing that has a combination; ``product`` is the same for listings of one product."""
     combos = cut(candidates(tokens(df, key, name, description)).withColumn("combo", F.xxhash64("model", F.coalesce("size", F.lit("")), F.coalesce("variety", F.lit(0)))))
     votes = combos.groupBy("combo").agg(F.count("*").alias("n"))
     k = F.lit(1) + F.col("size").isNotNull().cast("int") + F.col("variety").isNotNull().cast("int")
@@ -177,9 +179,13 @@ def groups(df: DataFrame, key: str = "id", name: str = "name", description: str
     largest = full.select("model", "combo").unionByName(steps[0].unionByName(steps[1]).filter("ways is null").select("model", "combo"))
     bare = clusters.filter("size is null and variety is null").join(only(["model"], largest), "model", "left").select("combo", "model", "ways", "to")
     merged = steps[0].unionByName(steps[1]).unionByName(bare).filter("ways = 1").select("combo", "to")
-    placed = best.join(merged, "combo", "left").select("id", F.coalesce("to", "combo").alias("product"))
+    return best.join(merged, "combo", "left").select("id", F.hex(F.coalesce("to", "combo")).alias("product"))
+
+
+def groups(df: DataFrame, key: str = "id", name: str = "name", description: str = "description") -> DataFrame:
+    """(id, product): one row for each listing id that is not null; a listing without a combination is a group of its own."""
     ids = df.select(F.col(f"`{key}`").alias("id")).filter(F.col("id").isNotNull()).distinct()
-    return ids.join(placed, "id", "left").select("id", F.coalesce(F.hex("product"), F.concat(F.lit("?"), F.col("id").cast("string"))).alias("product"))
+    return ids.join(placed(df, key, name, description), "id", "left").select("id", F.coalesce("product", F.concat(F.lit("?"), F.col("id").cast("string"))).alias("product"))
 
 
 def pairs(grouped: DataFrame) -> DataFrame:
