@@ -129,15 +129,15 @@ def models(said: DataFrame) -> DataFrame:
     # all tokens meet the stated names first, as most tokens are none; what is left is counted and is small
     met = cut(lookup(words, "gram", known, "model", "weight").filter("stated is not null"))
     held = met.groupBy("gram").agg(F.count("*").alias("weight"), F.first("stated").alias("stated"), F.first("code").alias("code"))
-    wrong = held.filter(~F.col("code") & (F.col("stated") < NAME_SHARE * F.col("weight"))).select("gram")
-    met = met.select("id", "gram", "at").join(wrong, "gram", "left_anti")
+    wrong = cut(held.filter(~F.col("code") & (F.col("stated") < NAME_SHARE * F.col("weight"))).select("gram"))
+    met = met.select("id", "gram", "at").join(broadcast_if_small(wrong), "gram", "left_anti")
     named = cut(_longest(met).unionByName(uncoded.select("id", F.explode("models").alias("model"), F.lit(0).alias("at"))))
     # listings without a known name: words that stand in some listings, but hardly in those that name another model
     rest = cut(words.join(named.select("id").distinct(), "id", "left_anti"))
     asked = cut(rest.groupBy("gram").agg(F.countDistinct("id").alias("free")).filter(F.col("free") >= UNSTATED_LEAST))
     every = uncoded.select(F.explode("grams").alias("gram")).join(broadcast_if_small(asked), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("held"))
     unstated = asked.join(every, "gram").filter(F.col("held") - F.col("free") <= NAMED_SHARE * F.col("held")).select("gram")
-    unnamed = _longest(rest.join(unstated, "gram", "left_semi"))
+    unnamed = _longest(rest.join(broadcast_if_small(cut(unstated)), "gram", "left_semi"))
     coded = said.filter(F.size("codes") > 0).select("id", "sizes", "kinds", F.explode("codes").alias("model"), F.lit(0).alias("at"))
     return coded.unionByName(uncoded.select("id", "sizes", "kinds").join(named.unionByName(unnamed), "id"))
 
