@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesela.functions.geo import EARTH_KM, haversine_km
+from tesela.runtime import broadcast_if_small, cut
 
 #: Finest level: 2**20 cubes along each axis, 60 bits a code; a cube is then 12 m wide.
 FINEST = 20
+#: Points of a cube from which on it is dealt to several keys.
+HOT = 4000
 
 
 def _spread(c: Column) -> Column:
@@ -110,11 +113,54 @@ def within(points: DataFrame, discs: DataFrame, *, point_key: str, disc_key: str
     return _meet(coded(points, point_key, lat, lon, level), cover(discs, disc_key, lat, lon, radius_km, level))
 
 
-def pairs(points: DataFrame, radius_km: float, *, key: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """(a, b, km): all pairs of different ids a < b at most ``radius_km`` apart. Ids must be unique; null ids take no part."""
-    level, known = _level(radius_km), points.filter(F.col(key).isNotNull())
-    discs = cover(known.withColumn("__r", F.lit(float(radius_km))), key, lat, lon, "__r", level)
-    return _meet(coded(known, key, lat, lon, level), discs).filter("disc < point").toDF("a", "b", "km")
+def _steps() -> list[tuple[int, int, int]]:
+    """A cube itself and the half of its neighbours that come after it, so that two neighbours meet once."""
+    every = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    return [s for s in every if s >= (0, 0, 0)]
+
+
+def pairs(points: DataFrame, radius_km: float, *, key: str, lat: str = "lat", lon: str = "lon", hot: int = HOT) -> DataFrame:
+    """(a, b, km): all pairs of different ids a < b at most ``radius_km`` apart. Ids must be unique; null ids take no part.
+
+    All discs are of one size, and a cube is at least as wide: a disc's ranges are its own cube and the neighbours that it
+    touches, each a range of one code, by plain arithmetic. A cube of more than ``hot`` points is dealt to several keys.
+    """
+    if not radius_km >= 0:
+        return _meet(coded(points, key, lat, lon, 1), cover(points.withColumn("__r", F.lit(None).cast("double")), key, lat, lon, "__r", 1)).toDF("a", "b", "km")
+    # cubes of two to four discs: few discs leave their cube
+    level = max(1, _level(radius_km) - 1)
+    side, chord = 2 / 2**level, 2 * math.sin(min(radius_km / EARTH_KM, math.pi) / 2) + 1e-9
+    p = points.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo")).filter("la between -90 and 90 and lo between -180 and 180")
+    names = dict(zip((-1, 0, 1), ("before", "here", "after")))
+    place, gap = [], []
+    for axis, shift, v in zip("xyz", (2, 1, 0), _unit(F.col("la"), F.col("lo"))):
+        cube = _cube(v, level)
+        place += [cube.alias(f"i{axis}"), (v + 1 - cube * side).alias(f"f{axis}")]
+        gap += [F.shiftleft(_spread(F.col(f"i{axis}") + s), shift).alias(f"{n}_{axis}") for s, n in names.items()]
+    p = p.select("id", "la", "lo", *place).select("*", *gap)
+    p = p.withColumn("code", F.col("here_x").bitwiseOR(F.col("here_y")).bitwiseOR(F.col("here_z")))
+
+    def near(x: int, y: int, z: int) -> Column:
+        gaps = [{-1: F.col(f"f{a}"), 0: F.lit(0.0), 1: side - F.col(f"f{a}")}[s] for a, s in zip("xyz", (x, y, z))]
+        inside = sum((g * g for g in gaps), F.lit(0.0)) <= chord * chord
+        for a, s in zip("xyz", (x, y, z)):
+            inside = inside & {-1: F.col(f"i{a}") > 0, 0: F.lit(True), 1: F.col(f"i{a}") < 2**level - 1}[s]
+        return F.when(inside, F.col(f"{names[x]}_x").bitwiseOR(F.col(f"{names[y]}_y")).bitwiseOR(F.col(f"{names[z]}_z")))
+
+    p = cut(p)
+    crowded = p.groupBy("code").agg(F.ceil(F.count("*") / hot).cast("int").alias("deals")).filter("deals > 1").withColumnRenamed("code", "crowd")
+    # a crowded cube holds more than ``hot`` points, so there are few; without any, nothing is dealt
+    dealt = None if crowded.isEmpty() else broadcast_if_small(cut(crowded))
+    probes = p.select("id", "la", "lo", F.col("code").alias("own"), F.explode(F.array(*[near(*s) for s in _steps()])).alias("code")).filter("code is not null")
+    stored = p.select(F.col("id").alias("to"), F.col("la").alias("tla"), F.col("lo").alias("tlo"), "code")
+    on = ["code"]
+    if dealt is not None:
+        probes = probes.join(dealt, F.col("code") == F.col("crowd"), "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("crowd", "deals")
+        stored = stored.join(dealt, F.col("code") == F.col("crowd"), "left").withColumn("deal", F.pmod(F.xxhash64("to"), F.coalesce("deals", F.lit(1))).cast("int")).drop("crowd", "deals")
+        on = ["code", "deal"]
+    met = probes.join(stored, on).filter((F.col("own") != F.col("code")) | (F.col("id") < F.col("to")))
+    km = haversine_km(F.col("la"), F.col("lo"), F.col("tla"), F.col("tlo"))
+    return met.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), km.alias("km")).filter(F.col("km") <= radius_km)
 
 
 def latest(df: DataFrame, key: str, at: str, *columns: str) -> DataFrame:

@@ -210,9 +210,10 @@ def unpack(df: DataFrame, kinds: dict[str, Kind], row: list[str], least: int = 1
     parsed = long.join(chosen, ["field", "key"]).select(*row, "field", "raw", "dialect")
 
     @F.pandas_udf("array<string>")
-    def parse(field: pd.Series, raw: pd.Series, dialect: pd.Series) -> pd.Series:
+    def parse(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         readers = {(f, d.name): Reader(d, k.ends) for f, k in kinds.items() for d in k.dialects()}
-        return pd.Series([[r.strip()] if d == "whole" else readers[f, d].values(r)[0] for f, r, d in zip(field, raw, dialect)])
+        for field, raw, dialect in batches:
+            yield pd.Series([[r.strip()] if d == "whole" else readers[f, d].values(r)[0] for f, r, d in zip(field, raw, dialect)], dtype=object)
 
     items = parsed.withColumn("items", parse("field", "raw", "dialect"))
     if least <= 1:

@@ -89,9 +89,12 @@ def test_pairs_equal_brute_force(spark):
     rng = random.Random(1)
     pts = [(rng.uniform(-0.2, 0.2), rng.uniform(-0.2, 0.2)) for _ in range(150)] + [(rng.uniform(89.8, 90), rng.uniform(-180, 180)) for _ in range(40)] + [(rng.uniform(-0.1, 0.1), 180 - rng.uniform(0, 0.1)) for _ in range(30)] + [(rng.uniform(-0.1, 0.1), -180 + rng.uniform(0, 0.1)) for _ in range(30)] + [(10.0, 10.0)] * 3
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)] + [(None, 10.0, 10.0), (999, None, 1.0)], "k long, lat double, lon double")
-    for radius in (3.0, 40.0):
+    for radius in (3.0, 40.0, 0.0):
         want = {(i, j) for i in range(len(pts)) for j in range(i + 1, len(pts)) if _km(pts[i], pts[j]) <= radius}
-        assert {(r["a"], r["b"]) for r in nearby.pairs(df, radius, key="k").collect()} == want
+        for hot in (nearby.HOT, 3):  # crowded cubes are dealt to several keys
+            got = [(r["a"], r["b"]) for r in nearby.pairs(df, radius, key="k", hot=hot).collect()]
+            assert set(got) == want and len(got) == len(want)
+    assert nearby.pairs(df, -1.0, key="k").count() == 0
     regions = spark.createDataFrame([("r", 0.0, 0.0, 10.0), ("n", 0.0, 0.0, None)], "id string, lat double, lon double, r double")
     inside = {r["point"] for r in nearby.within(df, regions, point_key="k", disc_key="id", radius_km="r", max_radius_km=10).collect()}
     assert inside == {i for i, p in enumerate(pts) if _km(p, (0, 0)) <= 10}
