@@ -41,7 +41,7 @@ def z_cell(lon: Column, lat: Column) -> Column:
     return F.shiftleft(_apart(y), 1).bitwiseOR(_apart(x))
 
 
-_NUMBER = r"([0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)"
+_NUMBER = r"(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)"
 
 
 def coordinate(text: Column, positive: str, negative: str, limit: float) -> Column:
@@ -49,11 +49,13 @@ def coordinate(text: Column, positive: str, negative: str, limit: float) -> Colu
 
     ``positive`` and ``negative`` hold the compass letters; a text has a sign or a letter, not both.
     """
-    t = F.upper(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    pattern = rf"^(?:([+-]?)\s*{_NUMBER}|{_NUMBER}\s*([{positive}{negative}]))$"
-    digits = F.replace(F.concat(F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 3)), F.lit(","), F.lit("."))
-    minus = (F.regexp_extract(t, pattern, 1) == "-") | F.regexp_extract(t, pattern, 4).isin(*negative)
-    value = F.when(t.rlike(pattern), digits.try_cast("double") * F.when(minus, -1.0).otherwise(1.0))
+    # one pattern says whether it is a coordinate; what it is then follows from its characters
+    pattern = rf"(?i)^\s*(?:[+-]?\s*{_NUMBER}|{_NUMBER}\s*[{positive}{negative}])\s*$"
+    blanks, marks = " \t\n\r\f\x0b", f"{positive}{negative}{positive.lower()}{negative.lower()}+-"
+    digits = F.translate(F.translate(text, blanks + marks, ""), ",", ".")
+    letter = F.upper(F.translate(text, blanks + "0123456789.,+-", ""))
+    minus = F.contains(text, F.lit("-")) | letter.isin(*negative)
+    value = F.when(text.rlike(pattern), digits.try_cast("double") * F.when(minus, -1.0).otherwise(1.0))
     return F.when(value.between(-limit, limit), value)
 
 

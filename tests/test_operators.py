@@ -102,6 +102,6 @@ def test_pairs_equal_brute_force(spark):
 
 
 def test_coordinates(spark):
-    df = spark.createDataFrame([("12.5",), (" 12,5 ",), ("12.5 S",), ("12.5O",), ("-12.5",), ("+1",), ("-",), ("N/D",), ("95",), (None,), ("",)], "t string")
+    df = spark.createDataFrame([("12.5",), (" 12,5 ",), ("12.5 S",), ("12.5O",), ("-12.5",), ("+1",), ("-",), ("N/D",), ("95",), (None,), ("",), ("- 12,5",), ("-12.5 S",), ("12.5 n",), ("1 2",), ("12.",), (".5\t",)], "t string")
     got = [tuple(r) for r in df.select(latitude(F.col("t")), longitude(F.col("t"))).collect()]
-    assert got == [(12.5, 12.5), (12.5, 12.5), (-12.5, None), (None, -12.5), (-12.5, -12.5), (1.0, 1.0), (None, None), (None, None), (None, 95.0), (None, None), (None, None)]
+    assert got == [(12.5, 12.5), (12.5, 12.5), (-12.5, None), (None, -12.5), (-12.5, -12.5), (1.0, 1.0), (None, None), (None, None), (None, 95.0), (None, None), (None, None), (-12.5, -12.5), (None, None), (12.5, None), (None, None), (12.0, 12.0), (0.5, 0.5)]
