@@ -15,15 +15,20 @@ count once, with the position of the latest row; a radius of 0 finds equal place
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.functions.geo import EARTH_KM, haversine_km
+from tesela.functions.geo import CELL_BITS, EARTH_KM, haversine_km, z_cell
 from tesela.runtime import broadcast_if_small, cut
 
 #: Finest level: 2**20 cubes along each axis, 60 bits a code; a cube is then 12 m wide.
 FINEST = 20
+#: Levels of quarters below the size of a box down to which it is covered, and the level of the blocks in which points and boxes meet.
+BOX_LEVELS, BLOCK_LEVEL = 4, 6
 #: Points of a cube from which on it is dealt to several keys.
 HOT = 4000
 
@@ -163,6 +168,52 @@ def pairs(points: DataFrame, radius_km: float, *, key: str, lat: str = "lat", lo
     return met.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), km.alias("km")).filter(F.col("km") <= radius_km)
 
 
+def _quarters(box: tuple[float, float, float, float]) -> Iterator[tuple[int, int]]:
+    """The code ranges of ``z_cell`` that cover a box (south, west, north, east): quarters of the plane, halved until they lie inside or are ``BOX_LEVELS`` deep."""
+    south, west, north, east = box
+    if west > east:  # across the 180th meridian
+        yield from _quarters((south, west, north, 180.0))
+        yield from _quarters((south, -180.0, north, east))
+        return
+    # the deepest level is as fine as the box's shorter side needs, so that a cover has a bounded number of ranges
+    depth = min(CELL_BITS, BOX_LEVELS + max(0, int(math.log2(180 / max(min(north - south, (east - west) / 2), 180 / 2**CELL_BITS)))))
+    todo = [(0, -90.0, -180.0, 0)]
+    while todo:
+        level, lat, lon, code = todo.pop()
+        high, wide = 180 / 2**level, 360 / 2**level
+        if lat > north or lat + high < south or lon > east or lon + wide < west:
+            continue
+        inside = south <= lat and lat + high <= north and west <= lon and lon + wide <= east
+        # a range lies in one block: wider quarters are cut down to blocks
+        if level >= BLOCK_LEVEL and (inside or level >= depth):
+            first = code << 2 * (CELL_BITS - level)
+            yield first, first + (1 << 2 * (CELL_BITS - level)) - 1
+        else:
+            todo += [(level + 1, lat + q * high / 2, lon + r * wide / 2, code << 2 | q << 1 | r) for q in (0, 1) for r in (0, 1)]
+
+
+def containing(points: DataFrame, boxes: DataFrame, *, point_key: str, box_key: str, lat: str = "lat", lon: str = "lon", sides: tuple[str, str, str, str] = ("south", "west", "north", "east")) -> DataFrame:
+    """(box, point): every point inside every box, borders included; a box with ``west`` above ``east`` lies across the 180th meridian.
+
+    Boxes are covered by ranges of the points' cells, points and ranges meet in a join on the curve's blocks, and the box decides.
+    Boxes with a null side or ``south`` above ``north``, and points without a position, take no part.
+    """
+    b = boxes.select(F.col(box_key).alias("box"), *[F.col(c).cast("double").alias(n) for c, n in zip(sides, ("south", "west", "north", "east"))]).filter("south <= north and west is not null and east is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                got = np.array(sorted(set(_quarters(tuple(row[1:])))), np.int64).reshape(-1, 2)
+                yield pd.DataFrame({**{c: [v] * len(got) for c, v in zip(pdf.columns, row)}, "from": got[:, 0], "to": got[:, 1]})
+
+    shift = 2 * (CELL_BITS - BLOCK_LEVEL)
+    ranges = cut(b.mapInPandas(run, b.select("*", F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("to")).schema).withColumn("block", F.shiftright("from", shift)))
+    p = points.select(F.col(point_key).alias("point"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo")).filter("la between -90 and 90 and lo between -180 and 180")
+    p = p.withColumn("code", z_cell(F.col("lo"), F.col("la"))).withColumn("block", F.shiftright("code", shift))
+    met = p.join(broadcast_if_small(ranges, row_bytes=96), "block").filter("code between `from` and `to`")
+    return met.filter("la between south and north and case when west <= east then lo between west and east else lo >= west or lo <= east end").select("box", "point").distinct()
+
+
 def latest(df: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
     """One row for each key that is not null: the values of its latest row (ties: the greatest values)."""
     best = F.max(F.struct(F.col(at).alias("__at"), *[F.col(c) for c in columns])).alias("__best")

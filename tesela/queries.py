@@ -41,6 +41,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("geo_a"), F.col("b").alias("geo_b"))
 
 
+def p6_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The locations in a box around the first location of each region."""
+    places = _places(spark, d)
+    named = table(spark, d, "ciudades").filter("region is not null and geo_id is not null").groupBy("region").agg(F.min("geo_id").alias("geo_id"))
+    boxes = named.join(places, "geo_id").select("region", (F.col("lat") - 1).alias("south"), (F.col("lon") - 1.5).alias("west"), (F.col("lat") + 1).alias("north"), (F.col("lon") + 1.5).alias("east"))
+    return nearby.containing(places, boxes, point_key="geo_id", box_key="region").select(F.col("box").alias("region"), F.col("point").alias("geo_id"))
+
+
 _FIELD = r"""(?:"[^"]*(?:""[^"]*)*"|[^",\r\n]*)"""
 _NUMBER = "([0-9]+([.,][0-9]*)?|[.,][0-9]+)"
 
@@ -69,7 +77,10 @@ def _cell(i: int) -> str:
 
 _PRICED = f"regexp_full_match({_cell(3)}, '\\s*({bad_rows.AMOUNT}(\\s*-\\s*{bad_rows.AMOUNT})?)?\\s*')"
 
-QUERIES = {**table_queries.QUERIES, **{f.__name__: f for f in (p1_found, p4_found, p4_reasons, p4_clean, p6_found)}}
+_PLACES = f"""WITH c AS (SELECT geo_id, {_degrees("latitude", "NS", "S", 90)} AS lat, {_degrees("longitude", "EWO", "WO", 180)} AS lon, loaded_at FROM ciudades WHERE geo_id IS NOT NULL),
+ p AS (SELECT geo_id, arg_max(lat, loaded_at) AS lat, arg_max(lon, loaded_at) AS lon FROM c WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) GROUP BY geo_id)"""
+
+QUERIES = {**table_queries.QUERIES, **{f.__name__: f for f in (p1_found, p4_found, p4_reasons, p4_clean, p6_found, p6_regions)}}
 ORACLES: dict[str, str] = {
     **table_queries.ORACLES,
     "p4_found": f"""
@@ -87,8 +98,10 @@ SELECT DISTINCT line_id FROM r WHERE NOT coalesce(shaped
  try_cast(regexp_replace(regexp_extract({_cell(3)}, '{bad_rows.AMOUNT}'), '[$,]', '', 'g') AS DOUBLE) AS price FROM w
  WHERE good AND {_PRICED} AND NOT regexp_matches({_cell(5)}, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')""",
     "p6_found": f"""
-WITH c AS (SELECT geo_id, {_degrees("latitude", "NS", "S", 90)} AS lat, {_degrees("longitude", "EWO", "WO", 180)} AS lon, loaded_at FROM ciudades WHERE geo_id IS NOT NULL),
- p AS (SELECT geo_id, arg_max(lat, loaded_at) AS lat, arg_max(lon, loaded_at) AS lon FROM c WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) GROUP BY geo_id)
+{_PLACES}
 SELECT a.geo_id AS geo_a, b.geo_id AS geo_b FROM p a JOIN p b ON a.geo_id < b.geo_id AND abs(a.lat - b.lat) < 0.03
 WHERE 12742e0*asin(least(1e0,sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2e0),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(b.lon)-radians(a.lon))/2e0),2)))) <= 3""",
+    "p6_regions": f"""
+{_PLACES}, r AS (SELECT region, p.lat, p.lon FROM (SELECT region, min(geo_id) AS geo_id FROM ciudades WHERE region IS NOT NULL GROUP BY 1) JOIN p USING (geo_id))
+SELECT region, geo_id FROM p JOIN r ON p.lat BETWEEN r.lat - 1 AND r.lat + 1 AND p.lon BETWEEN r.lon - 15e-1 AND r.lon + 15e-1""",
 }

@@ -101,6 +101,18 @@ def test_pairs_equal_brute_force(spark):
     assert nearby.pairs(df.limit(0), 3.0, key="k").count() == 0
 
 
+def test_containing_equals_brute_force(spark):
+    rng = random.Random(3)
+    pts = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(1500)] + [(9001, 0.0, 180.0), (9002, 0.0, -180.0), (9003, 90.0, 0.0), (9004, None, 1.0), (9005, 10.0, 10.0), (9005, 10.0, 10.0)]
+    boxes = [("globe", -90.0, -180.0, 90.0, 180.0), ("across", -20.0, 170.0, 20.0, -170.0), ("small", 9.9, 9.9, 10.1, 10.1), ("point", 10.0, 10.0, 10.0, 10.0), ("strip", -1.0, -180.0, 1.0, 180.0), ("none", 5.0, 0.0, -5.0, 1.0), ("null", None, 0.0, 1.0, 1.0), ("pole", 80.0, -50.0, 90.0, 60.0)]
+    df, regions = spark.createDataFrame(pts, "k long, lat double, lon double"), spark.createDataFrame(boxes, "name string, south double, west double, north double, east double")
+    got = sorted((r["box"], r["point"]) for r in nearby.containing(df, regions, point_key="k", box_key="name").collect())
+    inside = lambda la, lo, s, w, n, e: s <= la <= n and (w <= lo <= e if w <= e else lo >= w or lo <= e)
+    want = sorted({(b[0], k) for b in boxes if None not in b for k, la, lo in pts if la is not None and inside(la, lo, *b[1:])})
+    assert got == want
+    assert nearby.containing(df.limit(0), regions, point_key="k", box_key="name").count() == 0 == nearby.containing(df, regions.limit(0), point_key="k", box_key="name").count()
+
+
 def test_coordinates(spark):
     df = spark.createDataFrame([("12.5",), (" 12,5 ",), ("12.5 S",), ("12.5O",), ("-12.5",), ("+1",), ("-",), ("N/D",), ("95",), (None,), ("",), ("- 12,5",), ("-12.5 S",), ("12.5 n",), ("1 2",), ("12.",), (".5\t",)], "t string")
     got = [tuple(r) for r in df.select(latitude(F.col("t")), longitude(F.col("t"))).collect()]
