@@ -39,8 +39,10 @@ def count_tokens(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER)
         t = Tokenizer.from_file(tokenizer)
         t.encode_special_tokens = True
         for pdf in batches:
-            got = t.encode_batch([x if isinstance(x, str) else "" for x in pdf["t"]], add_special_tokens=False)
-            yield pd.DataFrame({"key": pdf["key"], "tokens": [len(e.ids) for e in got]})
+            texts = [x if isinstance(x, str) else "" for x in pdf["t"]]
+            # a few at a time, as encodings are many times as large as their texts
+            tokens = [len(e.ids) for i in range(0, len(texts), 200) for e in t.encode_batch(texts[i : i + 200], add_special_tokens=False)]
+            yield pd.DataFrame({"key": pdf["key"], "tokens": tokens})
 
     d = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
     counted = spread(d).mapInPandas(run, d.select("key", F.lit(0).cast("long").alias("tokens")).schema)
