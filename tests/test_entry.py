@@ -22,3 +22,29 @@ def test_queries_equal_sql(spark):
         got = [tuple(r) for r in df.select(*cols).collect()]
         def key(rows): return sorted(str(tuple(round(x, 6) if isinstance(x, float) else x for x in r)) for r in rows)
         assert key(got) == key(want), name
+
+
+def test_a_broken_import_inside_llm_is_not_hidden(monkeypatch):
+    import builtins
+    import importlib
+    import sys
+
+    real = builtins.__import__
+
+    def broken(name, *args, **kw):
+        if name == "xxhash":
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *args, **kw)
+
+    if entry.llm is None:
+        pytest.skip("no llm")
+    for m in [m for m in sys.modules if m.startswith("tesela.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    import tesela
+
+    monkeypatch.delattr(tesela, "llm", raising=False)
+    monkeypatch.setattr(builtins, "__import__", broken)
+    with pytest.raises(ModuleNotFoundError, match="xxhash"):
+        importlib.reload(entry)
+    monkeypatch.undo()
+    importlib.reload(entry)
