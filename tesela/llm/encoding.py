@@ -18,9 +18,10 @@ A mix-up of single-byte codecs, which any text allows, is only compressed if it
 Where all segments together, gains and losses added up, are shorter by more than its cost, it counts as found. Where a text shows
 steps, its segments are judged again with these steps free, as the text has named them once.
 
-The dictionaries are trained on at most ``SAMPLE_DOCS`` texts of each of the ``LANGUAGES`` most frequent languages, of which at most
-``SAMPLE_CHARS`` characters are read; segments that another reading would make shorter by the code of letters alone are left
-out. Everything else runs over all documents. Texts garbled more than ``DEPTH`` times are missed.
+The dictionaries come from counts over all documents, whole, too: in how many of a language each word stands, and each word outside
+ASCII between its neighbours. Those that save the most bytes, count and length considered, train the language's dictionary; pieces
+of which another reading is likelier by the code of letters and the counts are left out. Languages of fewer than
+``LEAST_DOCUMENTS`` documents share one dictionary with the documents of no language, if these are enough together. Nothing is sampled. Texts garbled more than ``DEPTH`` times are missed.
 
 Defined results: null, empty and ASCII texts are no case; a repeated row is judged again with the same result; where no
 language is given, one dictionary over all texts is used; without any text to train on, plain compression decides.
@@ -31,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -38,13 +40,19 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.runtime import spread
 
-#: Texts of each language that its dictionary is trained on, their length at most, and the size of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LANGUAGES = 800, 4000, 48 << 10, 12
+#: The size of a dictionary and the pieces that it is trained on, several times what it holds; the documents that a language needs to have one.
+DICTIONARY_BYTES, PIECES, LEAST_DOCUMENTS = 48 << 10, 8192, 50
+#: The label of documents without a language or of one that has fewer documents.
+UNKNOWN = "und"
+#: Letters beyond which a word is counted by its parts, and the characters of a neighbour that count.
+LONG, BESIDE = 24, 12
+#: Without effect: nothing is sampled. The name stays for callers that set it.
+SAMPLE_DOCS = 0
 #: Codecs by which UTF-8 bytes are read wrongly, and pairs of single-byte codecs that are mixed up (wrong, right).
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "cp1254", "iso8859-15", "koi8-r")
 MIXED = (("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("koi8-r", "cp1252"), ("latin-1", "cp1252"))
@@ -336,9 +344,15 @@ def agreed(segments: list[str], got: list[Restored], model: Model) -> frozenset[
 
 
 def languages(df: DataFrame, text: str, lang: str) -> list[str]:
-    """The most frequent languages of the documents."""
+    """The languages of at least ``LEAST_DOCUMENTS`` documents, the most frequent first."""
     of = F.lower(F.col(f"`{lang}`"))
-    return [r["l"] for r in df.filter(F.length(f"`{text}`") > 0).groupBy(of.alias("l")).count().filter(F.col("l").isNotNull() & ~F.col("l").isin("", "und")).orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
+    counted = df.filter(F.length(f"`{text}`") > 0).groupBy(of.alias("l")).count()
+    return [r["l"] for r in counted.filter(F.col("l").isNotNull() & ~F.col("l").isin("", UNKNOWN) & (F.col("count") >= LEAST_DOCUMENTS)).orderBy(F.desc("count"), "l").collect()]
+
+
+def _label(lang: str, names: list[str]) -> Column:
+    of = F.lower(F.col(f"`{lang}`"))
+    return F.when(of.isin(names), of).otherwise(UNKNOWN)
 
 
 def count_letters(df: DataFrame, text: str, lang: str, names: list[str]) -> dict[tuple[str, str], int]:
@@ -347,9 +361,8 @@ def count_letters(df: DataFrame, text: str, lang: str, names: list[str]) -> dict
     What reaches the driver is bounded by the languages, the characters in use and the kinds of two neighbours.
     """
     near = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), F.col(f"`{text}`"), F.lit(" ")), F.lit(r"(?s)(?=(.[^\x00-\x7F].))"), F.lit(1)))
-    of = F.lower(F.col(f"`{lang}`"))
     # the empty string stands in every document, so that its count is their number
-    rows = df.filter(F.length(f"`{text}`") > 0).select(F.when(of.isin(names), of).otherwise("und").alias("l"), F.explode(F.concat(near, F.array(F.lit("")))).alias("near"))
+    rows = df.filter(F.length(f"`{text}`") > 0).select(_label(lang, names).alias("l"), F.explode(F.concat(near, F.array(F.lit("")))).alias("near"))
     counted = rows.groupBy("l", "near").agg(F.count("*").alias("n"))
 
     @F.pandas_udf("string")
@@ -364,42 +377,89 @@ def count_letters(df: DataFrame, text: str, lang: str, names: list[str]) -> dict
     return {k: n for k, n in out.items() if n > 1 or not k[1]}
 
 
-def train(df: DataFrame, key: str, text: str, lang: str, names: list[str], counts: dict[tuple[str, str], int]) -> dict[str, bytes]:
-    """Dictionaries of the languages from a bounded sample: of each language and cell of hashes, the text with the least hash."""
-    l = F.lower(F.col(f"`{lang}`")) if names else F.lit("")
-    usable = df.select(l.alias("l"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"), F.substring(F.col(f"`{text}`"), 1, SAMPLE_CHARS).alias("t")).filter((F.char_length("t") > 20) & F.col("l").isin(names or [""]))
-    chosen = usable.groupBy("l", F.pmod("h", F.lit(SAMPLE_DOCS)).alias("cell")).agg(F.min("h").alias("h")).select("l", "h")
-    # at most SAMPLE_DOCS x LANGUAGES texts; copies of one row come once
-    rows = usable.join(F.broadcast(chosen), ["l", "h"], "left_semi").groupBy("l", "h").agg(F.first("t").alias("t")).collect()
-    samples: dict[str, list[bytes]] = {}
-    model = Model(dict.fromkeys(names, b""), counts)
-    for r in sorted(rows, key=lambda r: (r["l"], r["h"])):
-        at = names.index(r["l"]) if names else 0
-        samples.setdefault(r["l"], []).extend(s.encode("utf-8") for s in _SEGMENT.findall(r["t"]) if s.strip() and "\ufffd" not in s and _clean(s, model, at))
-    dictionaries = {}
-    for name, parts in sorted(samples.items()):
-        try:
-            if len(parts) >= 50:
-                dictionaries[name] = zstandard.train_dictionary(DICTIONARY_BYTES, parts, k=256, d=8, level=3).as_bytes()
-        except zstandard.ZstdError:
-            dictionaries[name] = b"".join(parts)[-DICTIONARY_BYTES:]
-    return dictionaries
+def pieces(text: str) -> set[str]:
+    """What a text gives to the dictionaries: its words, and those outside ASCII also between their neighbours.
+
+    Of a word of more than ``LONG`` letters each four outside ASCII count, of a neighbour its ``BESIDE`` nearest characters.
+    """
+    out = set()
+    for segment in _SEGMENT.findall(text):
+        words = _RUN.findall(segment)
+        out.update(words)
+        if segment.isascii():
+            continue
+        words = ["", *words, ""]
+        out.update(f"{before[-BESIDE:]} {w} {after[:BESIDE]}".strip(" ") for before, w, after in zip(words, words[1:], words[2:]) if not w.isascii() and len(w) <= LONG)
+    for w in [w for w in out if len(w) > LONG and " " not in w]:
+        out.remove(w)
+        out.update(g for i in range(len(w) - 3) if not (g := w[i : i + 4]).isascii())
+    return {p for p in out if "\ufffd" not in p}
 
 
-def _clean(segment: str, model: Model, at: int) -> bool:
-    """Whether no other reading has a shorter code of letters in the language."""
-    if segment.isascii():
-        return True
-    own = model.letters.text(segment)[at]
-    facts, longer = model.shifts(segment)
-    return all(model.letters.text(_read(segment, facts, k))[at] >= own for k in np.flatnonzero(~np.isnan(longer)))
+def train(df: DataFrame, text: str, lang: str, names: list[str], counts: dict[tuple[str, str], int]) -> dict[str, bytes]:
+    """The dictionary of each language, from the pieces of all documents.
+
+    Documents of no known language have one too, if they are enough. What reaches the driver is bounded by the languages and ``PIECES``.
+    """
+    rows = df.filter(F.length(f"`{text}`") > 0).select(_label(lang, names).alias("l"), F.col(f"`{text}`").alias("t"))
+
+    def frame(n: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"l": [l for l, _ in n], "piece": [p for _, p in n], "n": list(n.values())})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+        for pdf in batches:
+            for l, t in zip(pdf["l"], pdf["t"]):
+                n.update((l, p) for p in pieces(t))
+                if len(n) > 4 * KEPT:
+                    yield frame(n)
+                    n.clear()
+        yield frame(n)
+
+    counted = spread(rows).mapInPandas(run, "l string, piece string, n long").repartition("piece").groupBy("l", "piece").agg(F.sum("n").alias("n"))
+    # a match costs some three bytes; what one document holds says nothing of a language
+    saved = F.col("n") * (F.octet_length("piece") - 3)
+    told = counted.withColumn("everywhere", F.sum("n").over(Window.partitionBy("piece"))).filter((F.col("n") > 1) & (saved > 0))
+    ranked = told.withColumn("at", F.row_number().over(Window.partitionBy("l").orderBy(saved.desc(), "piece"))).filter(F.col("at") <= PIECES)
+    best: dict[str, dict[str, int]] = {}
+    everywhere: dict[str, int] = {}
+    for r in sorted(ranked.collect(), key=lambda r: (r["l"], r["at"])):
+        best.setdefault(r["l"], {})[r["piece"]] = r["n"]
+        everywhere[r["piece"]] = r["everywhere"]
+    known = [*names, *([UNKNOWN] if counts.get((UNKNOWN, ""), 0) >= LEAST_DOCUMENTS else [])] if names else [""]
+    model = Model(dict.fromkeys(known, b""), counts)
+    return {l: _dictionary(best.get(l or UNKNOWN, {}), everywhere, model, at) for at, l in enumerate(known)}
+
+
+def _dictionary(ranked: dict[str, int], everywhere: dict[str, int], model: Model, at: int) -> bytes:
+    """The dictionary trained on the pieces that are not garbled, each in as many rounds as its count has bits."""
+    usable = [(f" {p}".encode("utf-8", "surrogatepass"), n.bit_length()) for p, n in ranked.items() if p.isascii() or _clean(p, everywhere, model, at)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [p for k in range(max((b for _, b in usable), default=0)) for p, b in usable if b > k], k=256, d=8, level=3).as_bytes()
+    except zstandard.ZstdError:  # too little text
+        return b"".join(p for p, _ in reversed(usable))[-DICTIONARY_BYTES:]
+
+
+def _clean(piece: str, everywhere: dict[str, int], model: Model, at: int) -> bool:
+    """Whether no other reading of a piece is likelier, by its code of letters in the language and the documents that hold it.
+
+    A reading as UTF-8 needs one of both. A mix-up of single-byte codecs makes the letters of many a clean piece shorter (``PEÇAS``), so that both are added.
+    """
+    own = model.letters.text(piece)[at]
+    facts, longer = model.shifts(piece)
+    for k in np.flatnonzero(~np.isnan(longer)):
+        t = _read(piece, facts, k)
+        shorter, oftener = own - model.letters.text(t)[at], math.log2((everywhere.get(t, 0) + 1) / (everywhere[piece] + 1))
+        if shorter + oftener > 0 if IS_MIXUP[k] else max(shorter, oftener) > 0:
+            return False
+    return True
 
 
 def repaired(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, restored, chains, lost, garbled) of every row with text; ``restored`` equals the text where nothing is garbled."""
     names = languages(df, text, lang)
     counts = count_letters(df, text, lang, names)
-    shared = df.sparkSession.sparkContext.broadcast((train(df, key, text, lang, names, counts), counts))
+    shared = df.sparkSession.sparkContext.broadcast((train(df, text, lang, names, counts), counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(*shared.value)

@@ -266,3 +266,18 @@ def test_encoding_found_and_restored(spark, monkeypatch, sample):
     assert not set(got) - set(truth), [(rows[i][1], got[i]) for i in set(got) - set(truth)]
     assert len(set(truth) & set(got)) >= 0.95 * len(truth), [rows[i][1] for i in set(truth) - set(got)]
     assert sum(got[i] == truth[i] for i in got) >= 0.9 * len(got)
+
+
+def test_encoding_learns_from_all_documents(spark, monkeypatch):
+    """Every language, every document and the whole of each count for the dictionaries."""
+    made, train = {}, encoding.train
+    monkeypatch.setattr(encoding, "train", lambda *a: made.update(train(*a)) or made)
+    rows = [(f"l{k}", "plain words here. " * 260 + f"El señal{k:02d}x falta.") for k in range(14) for _ in range(60)]
+    rows += [("many", f"El niño{i // 2:04d}x falta.") for i in range(1700)]
+    rows += [("few", f"La piñata{i // 2}x falta.") for i in range(4)] + [(None, f"La piñata{i}x falta.") for i in range(60)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, lang string, text string")
+    assert encoding.repaired(df, "id").filter("garbled").count() == 0
+    assert set(made) == {*(f"l{k}" for k in range(14)), "many", "und"}
+    assert all(f"señal{k:02d}x".encode() in made[f"l{k}"] for k in range(14))
+    assert all(f"niño{i:04d}x".encode() in made["many"] for i in range(850))
+    assert all(f"piñata{i}x".encode() in made["und"] for i in range(2))
